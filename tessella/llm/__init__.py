@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import jaccard_join, quality
 
 
 def queries() -> dict:
     return {
+        "op4_quality_rules": quality.op4_quality_rules,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quality_rules": quality.ORACLE,
         "op8_jaccard_join": jaccard_join.ORACLE,
     }
