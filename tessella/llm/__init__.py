@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality
+from . import decontam, jaccard_join, quality
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_decontaminate": decontam.op5_decontaminate,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     }
 
@@ -15,5 +16,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_quality_rules": quality.ORACLE,
+        "op5_decontaminate": decontam.ORACLE,
         "op8_jaccard_join": jaccard_join.ORACLE,
     }
