@@ -5,10 +5,11 @@ around a few pivots would have to hold every text. Regions are therefore drawn a
 that can have a neighbour there enter them:
 
 * Texts with equal shingle sets form a class; one text stands for it (copies never meet one another).
-* Every shingle is a cell. A set enters the cells of its first floor((1-t)n)+1 shingles in an order that all texts
-  share (frequent shingles last, else by hash): two sets with J >= t always share such a cell. A cell's pivot is its
-  smallest id. The region of pivot p is every text that shares a cell with p as pivot: a text near the boundary of
-  several regions is replicated into each of them.
+* Every shingle is a cell. A set of n enters the cells of its first floor((1-t)n)+l(n) shingles, l(n) = floor(n/20)+1,
+  in an order that all texts share (frequent shingles last, else by hash): two sets with J >= t always share at least
+  min(l(n), l(n')) of these cells. A text with fewer shared cells than any neighbour would give it has none and goes.
+  A cell's pivot is its smallest id. The region of pivot p is every text that shares a cell with p as pivot: a text
+  near the boundary of several regions is replicated into each of them.
 * A region of at most BLOCK texts is joined in one task, exactly, by counting common shingles.
 * A larger region is dealt into blocks, each with a copy of the pivot. Texts within 1-t of the pivot are linked to
   it and need no comparison with one another. While many are left, one of them becomes the next pivot of the region,
@@ -40,6 +41,8 @@ from .components import components
 BLOCK = 256
 #: Shingles that come last in the order of prefixes: at most so many, seen at least so often. This only orders; nothing is left out.
 HOT_SHINGLES, HOT_COUNT = 1 << 17, 64
+#: A prefix is longer by n/SLACK, so that neighbours share more than one cell.
+SLACK = 20
 #: Pivots tried in a large region before the rest is compared block by block.
 DEPTH = 10
 
@@ -81,19 +84,20 @@ def _prefixes(size: int, pct: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = hot.value
         for batch in batches:
-            ids, out_ids, cells, ends = batch.column(0).to_pylist(), [], [], [0]
+            ids, out_ids, least, cells, ends = batch.column(0).to_pylist(), [], [], [], [0]
             for r, s in shingle_sets(batch.column(1), size):
                 if ids[r] is None or not len(s):
                     continue
-                k = len(s) - int(needed(len(s), pct)) + 1
+                k = len(s) - int(needed(len(s), pct)) + 1 + len(s) // SLACK
                 if len(last):
                     frequent = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                     s = np.concatenate([s[~frequent], s[frequent]])
                 cells.append(s[:k])
                 out_ids.append(ids[r])
-                ends.append(ends[-1] + k)
+                least.append(int(needed(len(s), pct)) // SLACK + 1)
+                ends.append(ends[-1] + len(cells[-1]))
             flat = np.concatenate(cells) if cells else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], ["node", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(least, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], ["node", "least", "cells"])
 
     return run
 
@@ -261,10 +265,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in hot.collect()], np.int64).view(np.uint64)))
     classes = save(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("node")).distinct()
-    pre = save(docs.mapInArrow(_prefixes(size, pct, last), "node long, cells array<long>").join(reps, "node", "left_semi"), "prefixes")
+    pre = save(docs.mapInArrow(_prefixes(size, pct, last), "node long, least int, cells array<long>").join(reps, "node", "left_semi"), "prefixes")
     memb = pre.select("node", F.explode("cells").alias("s"))
-    cells = memb.groupBy("s").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("s", "p")
-    regions = save(memb.join(cells, "s").where("node <> p").select("p", "node").distinct(), "regions")
+    pivot_of = lambda m: m.groupBy("s").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("s", "p")
+    shared = save(memb.join(pivot_of(memb), "s").select("s", "node"), "shared")
+    able = pre.select("node", "least").dropDuplicates(["node"]).join(shared.groupBy("node").agg(F.countDistinct("s").alias("c")), "node").where("c >= least").select("node")
+    shared = save(shared.join(able, "node"), "able")
+    regions = save(shared.join(pivot_of(shared), "s").where("node <> p").select("p", "node").distinct(), "regions")
     ours = _dealt(regions, BLOCK)
     pivots = ours.groupBy("p").agg(F.max("blocks").alias("blocks")).select("p", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("p").alias("node"))
     role = lambda k: F.when(F.col("blocks") == 1, 0).otherwise(k)
