@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard_join, quality
+from . import decontam, jaccard_join, pii, quality
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_decontaminate": decontam.op5_decontaminate,
+        "op7_personal_data": pii.op7_personal_data,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     }
 

@@ -269,7 +269,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     memb = pre.select("node", F.explode("cells").alias("s"))
     pivot_of = lambda m: m.groupBy("s").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q").select("s", "p")
     shared = save(memb.join(pivot_of(memb), "s").select("s", "node"), "shared")
-    able = pre.select("node", "least").dropDuplicates(["node"]).join(shared.groupBy("node").agg(F.countDistinct("s").alias("c")), "node").where("c >= least").select("node")
+    able = pre.groupBy("node").agg(F.min("least").alias("least")).join(shared.groupBy("node").agg(F.countDistinct("s").alias("c")), "node").where("c >= least").select("node")
     shared = save(shared.join(able, "node"), "able")
     regions = save(shared.join(pivot_of(shared), "s").where("node <> p").select("p", "node").distinct(), "regions")
     ours = _dealt(regions, BLOCK)
