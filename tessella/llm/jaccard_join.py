@@ -241,10 +241,10 @@ def _large(members: DataFrame, links: DataFrame, size: int, pct: int) -> DataFra
         done = save(tried if done is None else done.unionByName(tried), "done")
     if rest.isEmpty():
         return links
-    ring = lambda d: F.floor(d / window).cast("int")
+    ring = lambda d: F.floor(F.col(d) / window).cast("int")
     half = BLOCK // 2
     queries = rest.select("p", "node", "label", F.explode(F.array(ring("d") - 1, ring("d"), ring("d") + 1)).alias("ring"))
-    held = named.join(rest.select("p").distinct(), "p", "left_semi").withColumn("ring", ring(F.col("d")))
+    held = named.join(rest.select("p").distinct(), "p", "left_semi").withColumn("ring", ring("d"))
     size_of = queries.groupBy("p", "ring").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("qs")).join(held.groupBy("p", "ring").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("hs")), ["p", "ring"])
     name = F.concat_ws("-", "ring", "i", "j")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
