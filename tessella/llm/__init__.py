@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard_join, pii, quality
+from . import decontam, jaccard_join, pii, quality, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": url_filter.op1_url_filter,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op7_personal_data": pii.op7_personal_data,
@@ -16,6 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.ORACLE,
         "op4_quality_rules": quality.ORACLE,
         "op5_decontaminate": decontam.ORACLE,
         "op8_jaccard_join": jaccard_join.ORACLE,
