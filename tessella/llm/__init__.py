@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard_join, pii, quality, url_filter
+from . import decontam, jaccard_join, pii, quality, sp_codec, token_output, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
+        "op2_token_output": token_output.op2_token_output,
+        "op3_sentencepiece": sp_codec.op3_sentencepiece,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_decontaminate": decontam.op5_decontaminate,
         "op7_personal_data": pii.op7_personal_data,
