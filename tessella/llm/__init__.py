@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard_join, pii, quality, sp_codec, token_output, url_filter
+from . import decontam, jaccard_join, pii, quality, sharding, sp_codec, token_output, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op5_decontaminate": decontam.op5_decontaminate,
         "op7_personal_data": pii.op7_personal_data,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op9_sharding": sharding.op9_sharding,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
