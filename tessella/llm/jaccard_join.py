@@ -12,8 +12,8 @@ that can have a neighbour there enter them:
   near the boundary of several regions is replicated into each of them.
 * A region of at most BLOCK texts is joined in one task, exactly, by counting common shingles.
 * A larger region is dealt into blocks, each with a copy of the pivot. Texts within 1-t of the pivot are linked to
-  it and need no comparison with one another. While many are left, one of them becomes the next pivot of the region,
-  and is compared with the texts that the triangle inequality allows: |d(x,p)-d(q,p)| <= 1-t (recursion).
+  it and need no comparison with one another. While many are left, some of them become the next pivots of the region,
+  and are compared with the texts that the triangle inequality allows: |d(x,p)-d(q,p)| <= 1-t (recursion).
   What is left after that is compared block by block with the texts in reach, by rings of d(x,p) one window wide.
 
 Links are kept as a spanning forest, so no group emits all of its pairs, and components come from components.py.
@@ -43,8 +43,8 @@ BLOCK = 256
 HOT_SHINGLES, HOT_COUNT = 1 << 17, 64
 #: A prefix is longer by n/SLACK, so that neighbours share more than one cell.
 SLACK = 20
-#: Pivots tried in a large region before the rest is compared block by block.
-DEPTH = 10
+#: Times that up to PIVOTS more pivots are tried in a region with more than CROWD texts left, before these are compared block by block.
+DEPTH, PIVOTS, CROWD = 3, 16, 2048
 
 
 def needed(n: np.ndarray, pct: int) -> np.ndarray:
@@ -155,13 +155,25 @@ def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tupl
 
 
 def _joined(size: int, pct: int):
-    """Roles: 0 text of a small region, 1 pivot of a block, 2 text of a large region, 3 query, 4 text that queries are held against."""
+    """Roles: 0 text of a small region, 1 first pivot of a region, 2 text of a large region, 3 query, 4 text that queries are held against, 5 one of several later pivots."""
 
     def block(p: int, rows: list[tuple]) -> Iterator[tuple]:
         roles = {r[1] for r in rows}
         if 0 in roles:
             for a, b in forest([r[0] for r in rows], [r[3] for r in rows], pct):
                 yield a, b, 0, None
+        elif 5 in roles:
+            pivots, rest = [r for r in rows if r[1] == 5], [r for r in rows if r[1] == 2]
+            index, first = Index([r[3] for r in rest]), np.full(len(rest), -1)
+            for k, x in enumerate(pivots):
+                near = index.near(x[3], pct)
+                met = np.flatnonzero(near & (first >= 0))
+                for m in np.unique(first[met]):  # these pivots and this one share a neighbour
+                    yield pivots[m][0], x[0], 0, None
+                for j in np.flatnonzero(near & (first < 0)):
+                    first[j] = k
+                    if rest[j][0] != x[0]:
+                        yield x[0], rest[j][0], 0, None
         elif 1 in roles:
             pivot, rest = next(r for r in rows if r[1] == 1), [r for r in rows if r[1] == 2]
             index = Index([r[3] for r in rest])
@@ -217,42 +229,47 @@ def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def _large(members: DataFrame, links: DataFrame, size: int, pct: int) -> DataFrame:
     """More links of large regions. members (saved): p, node, text, d (distance to the pivot)."""
     window = 1 - pct / 100 + 1e-9
-    done = None
-    for depth in range(DEPTH + 1):
-        label = components(links)
-        named = members.join(label, members.node == label.node, "left").select("p", members.node, "d", "text", F.coalesce("component", members.node).alias("label"))
-        core = named.where("node = p").select("p", F.col("label").alias("core"))
-        named = save(named.join(core, "p", "left"), "named")
-        rest = named.where("core is null or label <> core").select("p", "node", "d", "label")
-        if done is not None:
-            rest = rest.join(done, ["p", "node"], "left_anti")
-        rest = save(rest, "rest")
-        counts = rest.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("node", "d")).alias("q"))
-        more = counts.where(F.col("m") > BLOCK) if depth < DEPTH else counts.limit(0)
-        more = save(more.select("p", F.col("q.node").alias("q"), F.col("q.d").alias("qd")), "pivots")
-        if more.isEmpty():
+    tags = members.select("p", "node", "d", F.when(F.col("d") <= window, F.col("p")).otherwise(F.col("node")).alias("label"))
+    regions = tags.where("node = p").count()
+    few = F.broadcast if regions * PIVOTS * 64 <= common.BROADCAST_BYTES else lambda df: df  # noqa: E731  tables with a row for each region, pivot or ring
+    rest = tags.where("label <> p")
+    for _ in range(DEPTH):
+        crowded = rest.groupBy("p").count().where(F.col("count") > CROWD).select("p")
+        picked = rest.join(few(crowded), "p").groupBy("p", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("i")).agg(F.min(F.struct("node", "d")).alias("q"))
+        picked = save(picked.select("p", F.col("q.node").alias("q"), F.col("q.d").alias("qd")), "pivots")
+        if picked.isEmpty():
             break
-        near = named.join(more, "p").where(F.abs(F.col("d") - F.col("qd")) <= window)
-        ours = _dealt(near.where("node <> q").select("p", "q", "node", "text"), BLOCK)
-        pivots = near.where("node = q").select("p", "node", "text").join(ours.groupBy("p").agg(F.max("blocks").alias("blocks")), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "text")
-        rows = ours.select("p", "block", "node", F.lit(2).alias("role"), F.lit(None).cast("long").alias("label"), "text").unionByName(pivots.select("p", "block", "node", F.lit(1).alias("role"), F.lit(None).cast("long").alias("label"), "text"))
-        links = save(links.unionByName(_run(rows, size, pct).where("kind = 0").select("a", "b")), "links")
-        tried = more.select("p", F.col("q").alias("node"))
-        done = save(tried if done is None else done.unionByName(tried), "done")
+        reach = picked.groupBy("p").agg((F.min("qd") - window).alias("lo"), (F.max("qd") + window).alias("hi"))
+        ours = _dealt(members.join(few(reach), "p").where("d between lo and hi").select("p", "node", "text"), BLOCK)
+        blocks = ours.groupBy("p").agg(F.max("blocks").alias("blocks"))
+        pivots = members.join(few(picked.select("p", F.col("q").alias("node"))), ["p", "node"]).join(few(blocks), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "text")
+        flat = lambda df, role: df.select("p", "block", "node", F.lit(role).alias("role"), F.lit(None).cast("long").alias("label"), "text")
+        found = _run(flat(ours, 2).unionByName(flat(pivots, 5)), size, pct).where("kind = 0").select("p", F.col("a").alias("q"), F.col("b").alias("node"))
+        links = links.unionByName(found.select(F.col("q").alias("a"), F.col("node").alias("b")))
+        # pivots that touch the core bring all that they hold into it; a pivot itself has met every text in reach
+        touch = found.join(tags.where("label = p").select("p", "node"), ["p", "node"]).select("p", "q").distinct()
+        held = found.join(few(touch), ["p", "q"]).select("p", "node")
+        rest = save(rest.join(held.unionByName(picked.select("p", F.col("q").alias("node"))).distinct(), ["p", "node"], "left_anti"), "rest")
     if rest.isEmpty():
         return links
     ring = lambda d: F.floor(F.col(d) / window).cast("int")
     half = BLOCK // 2
     queries = rest.select("p", "node", "label", F.explode(F.array(ring("d") - 1, ring("d"), ring("d") + 1)).alias("ring"))
-    held = named.join(rest.select("p").distinct(), "p", "left_semi").withColumn("ring", ring("d"))
+    held = tags.join(few(rest.select("p").distinct()), "p", "left_semi").withColumn("ring", ring("d"))
     size_of = queries.groupBy("p", "ring").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("qs")).join(held.groupBy("p", "ring").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("hs")), ["p", "ring"])
     name = F.concat_ws("-", "ring", "i", "j")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    texts = named.select("p", "node", "text")
-    q = queries.join(size_of, ["p", "ring"]).withColumn("i", mine("qs")).withColumn("j", spread("hs")).join(texts, ["p", "node"]).select("p", name.alias("block"), "node", F.lit(3).alias("role"), "label", "text")
-    h = held.join(size_of, ["p", "ring"]).withColumn("j", mine("hs")).withColumn("i", spread("qs")).select("p", name.alias("block"), "node", F.lit(4).alias("role"), "label", "text")
-    return save(links.unionByName(_run(q.unionByName(h), size, pct).where("kind = 0").select("a", "b")), "links")
+    texts = members.select("p", "node", "text")
+    q = queries.join(few(size_of), ["p", "ring"]).withColumn("i", mine("qs")).join(texts, ["p", "node"]).withColumn("j", spread("hs")).select("p", name.alias("block"), "node", F.lit(3).alias("role"), "label", "text")
+    h = held.join(few(size_of), ["p", "ring"]).withColumn("j", mine("hs")).join(texts, ["p", "node"]).withColumn("i", spread("qs")).select("p", name.alias("block"), "node", F.lit(4).alias("role"), "label", "text")
+    return links.unionByName(_run(q.unionByName(h), size, pct).where("kind = 0").select("a", "b"))
+
+
+def frequent_shingles(counts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the most frequent shingles, HOT_SHINGLES at most (1 MB); counts: id (a hash), n."""
+    hot = counts.groupBy(F.col("id").alias("h")).agg(F.sum("n").alias("c")).where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), "h").limit(HOT_SHINGLES)
+    return np.sort(np.array([r.h for r in hot.collect()], np.int64).view(np.uint64))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80, size: int = 5) -> DataFrame:
@@ -261,8 +278,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = save(docs.mapInArrow(_digests(size), "kind int, id long, n long, k1 long, k2 long"), "digests")
     rows = made.where("kind = 0").select("id", "n", "k1", "k2")
-    hot = made.where("kind = 1").groupBy(F.col("id").alias("h")).agg(F.sum("n").alias("c")).where(F.col("c") >= HOT_COUNT).orderBy(F.desc("c"), "h").limit(HOT_SHINGLES)
-    last = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in hot.collect()], np.int64).view(np.uint64)))
+    last = spark.sparkContext.broadcast(frequent_shingles(made.where("kind = 1")))
     classes = save(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("node")).distinct()
     pre = save(docs.mapInArrow(_prefixes(size, pct, last), "node long, least int, cells array<long>").join(reps, "node", "left_semi"), "prefixes")
@@ -282,7 +298,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         large = save(large.unionByName(large.select("p").distinct().select("p", F.col("p").alias("node"), F.lit(0.0).alias("d"))).distinct(), "large")
         members = save(_with_text(docs, large).dropDuplicates(["p", "node"]), "members")
-        links = _large(members, save(links, "links"), size, pct)
+        links = _large(members, links, size, pct)
     label = components(links)
     known = classes.join(label, classes.rep == label.node, "left").select("k1", "k2", "n", "rep", F.coalesce("component", "rep").alias("component"))
     same = lambda k: rows[k].eqNullSafe(known[k])

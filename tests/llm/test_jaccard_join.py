@@ -57,9 +57,9 @@ def test_equals_brute_force(spark):
 
 def test_large_regions_recurse_exactly(spark, monkeypatch):
     rows = corpus(2, 2, 60, 9)
-    for block, depth in ((6, 0), (16, 2)):
+    for block, crowd in ((6, 2048), (10, 5)):
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
-        monkeypatch.setattr(jaccard_join, "DEPTH", depth)
+        monkeypatch.setattr(jaccard_join, "CROWD", crowd)
         got = {r.id: (r.n_shingles, r.component) for r in result(spark, rows).collect()}
         assert got == brute(rows)
 
