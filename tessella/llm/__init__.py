@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard_join, pii, quality, sharding, sp_codec, token_output, toxicity, url_filter
+from . import decontam, jaccard_join, pii, quality, sharding, sp_codec, substring_dedup, token_output, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_sentencepiece": sp_codec.op3_sentencepiece,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_decontaminate": decontam.op5_decontaminate,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_personal_data": pii.op7_personal_data,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_sharding": sharding.op9_sharding,
