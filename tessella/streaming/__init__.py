@@ -1,0 +1 @@
+"""The engine is a batch engine: none of its operators keeps state across micro-batches."""
