@@ -65,23 +65,33 @@ _GEOMETRY = "cohort string, signal_0_end double, engine string, n_signals int, "
 def cohort_geometry(windows: DataFrame, groups: dict[str, list[str]] = GROUPS) -> DataFrame:
     """Spectrum by (cohort, window end, feature group), with the signals' and features' first loadings beside it."""
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+    cols = sorted({c for g in groups.values() for c in g})
+    names = [c.split()[0] for c in _GEOMETRY.split(", ")]
+
+    def of(cohort: str, end: float, members: np.ndarray) -> list[list]:
         out = []
-        for name, cols in groups.items():
-            ok = np.isfinite(pdf[cols].to_numpy(float)).all(1)
-            e = eigen(pdf.loc[ok, cols].to_numpy(float))
+        signals = [m["signal_id"] for m in members]
+        every = np.array([[np.nan if m[c] is None else m[c] for c in cols] for m in members], float)
+        for name, group in groups.items():
+            m = every[:, [cols.index(c) for c in group]]
+            ok = np.isfinite(m).all(1)
+            e = eigen(m[ok])
             if e is None:
                 continue
             val = np.pad(e["values"][:5], (0, max(0, 5 - len(e["values"]))), constant_values=np.nan)
-            row = [pdf["cohort"].iloc[0], pdf["signal_0_end"].iloc[0], name, int(ok.sum())]
-            for v in val:
-                row += [v, v / e["total_variance"]]
             sign = 1 if e["vectors"][np.abs(e["vectors"][:, 0]).argmax(), 0] > 0 else -1  # one of two directions, always the same
-            row += [e["effective_dim"], e["effective_dim"] - e["half"], e["effective_dim"] + e["half"], e["total_variance"], e["entropy"], e["entropy_norm"], e["condition_number"], e["ratio"], pdf.loc[ok, "signal_id"].tolist(), cols, (sign * e["scores"][:, 0]).tolist(), (sign * e["vectors"][:, 0]).tolist()]
-            out.append(row)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _GEOMETRY.split(", ")])
-
-    return windows.groupBy(*AT).applyInPandas(lambda pdf: of(pdf.sort_values("signal_id")), _GEOMETRY)
+            row = [cohort, end, name, int(ok.sum()), *[x for v in val for x in (v, v / e["total_variance"])], e["effective_dim"], e["effective_dim"] - e["half"], e["effective_dim"] + e["half"], e["total_variance"], e["entropy"], e["entropy_norm"], e["condition_number"], e["ratio"]]
+            out.append([*row, [n for n, k in zip(signals, ok) if k], group, (sign * e["scores"][:, 0]).tolist(), (sign * e["vectors"][:, 0]).tolist()])
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            rows = [r for x in pdf.itertuples() for r in of(x.cohort, x.signal_0_end, x.members)]
+            yield pd.DataFrame(rows, columns=names)
+
+    # a window's signals of one cohort: a small matrix each, many of them a batch
+    packed = windows.groupBy(*AT).agg(F.array_sort(F.collect_list(F.struct("signal_id", *cols))).alias("members"))
+    return packed.mapInPandas(run, _GEOMETRY)
 
 
 def signal_positions(geometry: DataFrame) -> DataFrame:

@@ -60,11 +60,7 @@ def signal_vector(obs: DataFrame, names: list[str], width: int = 64, stride: int
     """Engine outputs for every window. Engines look back their own width from a shared end; the widest sets the frame."""
     widths = {n: (overrides or {}).get(n, engine(n).width(factor)) for n in names}
     outputs = _outputs(names)
-    made = W.arrays(obs, width, stride, partial)
-    if max(widths.values()) > width:
-        f = W.frame(max(widths.values()))
-        made = W.hits(obs, width, stride, partial=partial).withColumns({"values": F.collect_list("value").over(f), "signal_0_start": F.min("signal_0").over(W.frame(width))}).where("hit")
-        made = made.select("cohort", "signal_id", "window_id", "signal_0_start", F.col("signal_0").alias("signal_0_end"), ((F.col("signal_0_start") + F.col("signal_0")) / 2).alias("signal_0_center"), "values")
+    made = W.arrays(obs, width, stride, partial, max(widths.values()))
     schema = "cohort string, signal_id string, window_id long, signal_0_start double, signal_0_end double, signal_0_center double, " + ", ".join(f"`{c}` double" for _, _, c in outputs)
     return made.select(*KEYS, "values").mapInArrow(_run(names, widths, outputs), schema)
 

@@ -1,7 +1,7 @@
 """Hopping count windows over series, as window expressions.
 
-A window ends at row W-1 + k*S of its series and looks back W rows; a shorter series has none. Frames are row frames, so
-Spark streams a sorted partition and holds W rows at a time; only hits of the stride leave the operator.
+A window ends at row W-1 + k*S of its series and looks back W rows; a shorter series has none. Rows are numbered once and
+grouped by window, so aggregates combine before the shuffle and no frame slides.
 """
 
 from __future__ import annotations
@@ -20,25 +20,39 @@ def frame(width: int, keys: list[str] = SERIES):
     return ordered(keys).rowsBetween(-(width - 1), 0)
 
 
-def hits(obs: DataFrame, width: int, stride: int, keys: list[str] = SERIES, partial: bool = False) -> DataFrame:
-    """Adds rn (from 0), window_id and hit; partial: a series shorter than the window has one window, at its end."""
-    rn = (F.row_number().over(ordered(keys)) - 1).alias("rn")
-    df = obs.select("*", rn)
-    hit = (F.col("rn") >= width - 1) & ((F.col("rn") - (width - 1)) % stride == 0)
-    if partial:
-        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        df = df.withColumn("__n", n)
-        hit = hit | ((F.col("__n") < width) & (F.col("rn") == F.col("__n") - 1))
-    out = df.withColumn("hit", hit).withColumn("window_id", F.greatest(F.floor((F.col("rn") - (width - 1)) / stride), F.lit(0)))
-    return out.drop("__n")
+def assigned(obs: DataFrame, width: int, stride: int, keys: list[str] = SERIES) -> DataFrame:
+    """Each row once for each window that holds it (width / stride copies): rn, n (the series' rows) and window_id.
 
+    Grouping the copies by window costs O(rows * width / stride) with partial aggregates, where a sliding frame would
+    aggregate width rows anew for every row."""
+    rn, n = F.row_number().over(ordered(keys)) - 1, F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    df = obs.select("*", rn.cast("long").alias("rn"), n.alias("n"))
+    low = F.greatest(F.ceil((F.col("rn") - (width - 1)) / stride), F.lit(0))
+    return df.withColumn("window_id", F.explode(F.sequence(low, F.greatest(F.floor(F.col("rn") / stride), low))))
 
-def arrays(obs: DataFrame, width: int, stride: int, partial: bool = False) -> DataFrame:
-    """cohort, signal_id, window_id, signal_0_start, signal_0_end, signal_0_center, values (nulls dropped)."""
-    f = frame(width)
-    made = hits(obs, width, stride, partial=partial)
-    made = made.withColumns({"values": F.collect_list("value").over(f), "signal_0_start": F.min("signal_0").over(f)})
-    return made.where("hit").select(*SERIES, "window_id", "signal_0_start", F.col("signal_0").alias("signal_0_end"), ((F.col("signal_0_start") + F.col("signal_0")) / 2).alias("signal_0_center"), "values")
+
+def _complete(df: DataFrame, width: int, partial: bool) -> DataFrame:
+    """Whole windows only; partial: a series shorter than the window has one, window 0."""
+    whole = F.col("__rows") == width
+    return df.where(whole | ((F.col("__n") < width) & (F.col("window_id") == 0)) if partial else whole).drop("__rows", "__n")
+
+
+def arrays(obs: DataFrame, width: int, stride: int, partial: bool = False, reach: int | None = None) -> DataFrame:
+    """cohort, signal_id, window_id, signal_0_start, signal_0_end, signal_0_center, values (in order, nulls dropped).
+
+    reach: values go back so many rows from the window's end, or to the start of the series."""
+    reach = max(width, reach or width)
+    back = F.col("window_id") * stride + width - 1 - reach  # last row before the reach
+    df = assigned(obs, width, stride)
+    if reach > width:
+        rn = F.col("rn")
+        low = F.greatest(F.ceil((rn - (width - 1)) / stride), F.lit(0))
+        df = df.drop("window_id").withColumn("window_id", F.explode(F.sequence(low, F.greatest(F.floor((rn + reach - width) / stride), low)))).where(rn > back)
+    inside = F.col("rn") >= F.col("window_id") * stride
+    xs = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("rn", "value"))))
+    g = df.groupBy(*SERIES, "window_id").agg(F.count_if(inside).alias("__rows"), F.max("n").alias("__n"), F.min(F.when(inside, F.col("signal_0"))).alias("signal_0_start"), F.max("signal_0").alias("signal_0_end"), xs.alias("xs"))
+    out = _complete(g, width, partial)
+    return out.select(*SERIES, "window_id", "signal_0_start", "signal_0_end", ((F.col("signal_0_start") + F.col("signal_0_end")) / 2).alias("signal_0_center"), F.col("xs.value").alias("values"))
 
 
 def guarded(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -48,22 +62,17 @@ def guarded(a: Column, b: Column, least: float = 0.0) -> Column:
 
 def features(obs: DataFrame, width: int = 32, stride: int = 8) -> DataFrame:
     """Statistics of each window that need no array: moments, amplitude, trend, pulsation, change."""
-    f = frame(width)
-    x = F.col("value")
-    df = obs.withColumn("__d", x - F.lag("value").over(ordered()))
-    df = hits(df, width, stride)
-    over = lambda c: c.over(f)
-    d = F.when(F.row_number().over(ordered()) > 1, F.col("__d"))
-    inner = ordered().rowsBetween(-(width - 2), 0)
-    rms = F.sqrt(over(F.avg(x * x)))
-    t = F.col("rn").cast("double")
-    top, low = over(F.max(x)), over(F.min(x))
+    x, t = F.col("value"), F.col("rn").cast("double")
+    df = assigned(obs.withColumn("__d", x - F.lag("value").over(ordered())), width, stride)
+    d = F.when(F.col("rn") > F.col("window_id") * stride, F.col("__d"))
+    top, low, rms = F.max(x), F.min(x), F.sqrt(F.avg(x * x))
     out = {
-        "mean": over(F.avg(x)), "std": over(F.stddev_pop(x)), "kurtosis": over(F.kurtosis(x)), "skewness": over(F.skewness(x)), "rms": rms, "crest_factor": guarded(over(F.max(F.abs(x))), rms, 1e-15),
-        "peak": over(F.max(F.abs(x))), "peak_to_peak": top - low, "pulsation_index": (top - low) / (F.abs(over(F.avg(x))) + 1e-10),
-        "trend_slope": over(F.regr_slope(x, t)), "trend_r2": over(F.regr_r2(x, t)), "mean_rate": F.avg(d).over(inner), "rate_std": F.stddev_pop(d).over(inner), "abs_max_rate": F.max(F.abs(d)).over(inner),
+        "mean": F.avg(x), "std": F.stddev_pop(x), "kurtosis": F.kurtosis(x), "skewness": F.skewness(x), "rms": rms, "crest_factor": guarded(F.max(F.abs(x)), rms, 1e-15),
+        "peak": F.max(F.abs(x)), "peak_to_peak": top - low, "pulsation_index": (top - low) / (F.abs(F.avg(x)) + 1e-10),
+        "trend_slope": F.regr_slope(x, t), "trend_r2": F.regr_r2(x, t), "mean_rate": F.avg(d), "rate_std": F.stddev_pop(d), "abs_max_rate": F.max(F.abs(d)),
     }
-    return df.withColumns(out).where("hit").select(*SERIES, "window_id", F.col("signal_0").alias("signal_0_end"), *out)
+    g = df.groupBy(*SERIES, "window_id").agg(F.count(F.lit(1)).alias("__rows"), F.max("n").alias("__n"), F.max("signal_0").alias("signal_0_end"), *[c.alias(k) for k, c in out.items()])
+    return _complete(g, width, False)
 
 
 def summarize(windows: DataFrame, metrics: list[str], threshold: float = 0.10) -> DataFrame:

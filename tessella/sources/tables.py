@@ -78,16 +78,18 @@ EVENTS = "SELECT event_type AS cohort, 'u' || (user_id % 4)::VARCHAR AS signal_i
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four aligned signals for each (return flag, line status): rows numbered by ship date, order and line."""
+    """Four aligned signals for each (return flag, line status): rows numbered in a total order that ship date leads."""
     li = _read(spark, sf_dir, "lineitem")
     cohort = F.concat("l_returnflag", "l_linestatus")
-    n = F.row_number().over(Window.partitionBy(cohort).orderBy("l_shipdate", "l_orderkey", "l_linenumber")).cast("double")
+    n = F.row_number().over(Window.partitionBy(cohort).orderBy(*TOTAL)).cast("double")
     pairs = ", ".join(f"'{s}', l_{s}" for s in SIGNALS)
     return li.select(cohort.alias("cohort"), n.alias("signal_0"), *[f"l_{s}" for s in SIGNALS]).selectExpr("cohort", "signal_0", f"stack({len(SIGNALS)}, {pairs}) AS (signal_id, value)").select("cohort", "signal_id", "signal_0", "value")
 
 
+#: A total order: order and line numbers repeat.
+TOTAL = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SIGNALS = ("quantity", "extendedprice", "discount", "tax")
-_WIDE = "SELECT l_returnflag || l_linestatus AS cohort, row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY l_shipdate, l_orderkey, l_linenumber)::DOUBLE AS signal_0, * FROM lineitem"
+_WIDE = f"SELECT l_returnflag || l_linestatus AS cohort, row_number() OVER (PARTITION BY l_returnflag || l_linestatus ORDER BY {", ".join(TOTAL)})::DOUBLE AS signal_0, * FROM lineitem"
 LINEITEM = " UNION ALL ".join(f"SELECT cohort, '{s}' AS signal_id, signal_0, l_{s} AS value FROM ({_WIDE})" for s in SIGNALS)
 
 
