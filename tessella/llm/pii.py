@@ -47,7 +47,7 @@ LOOSE = {
 #: Fixed lists of the gazetteer labeler: accepted starts or ends by kind.
 GAZETTEER = {
     "email": r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|us|ca|ch|at|be|pl|ru|br|jp|cn|in|au)$",
-    "ip": r"^(?!0|127\.|255\.|22[4-9]\.|23[0-9]\.)",
+    "ip": r"^(?!127\.)(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
     "card": r"^[2-6]",
     "phone": r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
 }
