@@ -20,15 +20,16 @@ def frame(width: int, keys: list[str] = SERIES):
     return ordered(keys).rowsBetween(-(width - 1), 0)
 
 
-def assigned(obs: DataFrame, width: int, stride: int, keys: list[str] = SERIES) -> DataFrame:
-    """Each row once for each window that holds it (width / stride copies): rn, n (the series' rows) and window_id.
+def assigned(obs: DataFrame, width: int, stride: int, keys: list[str] = SERIES, reach: int | None = None) -> DataFrame:
+    """Each row once for each window that holds it (reach / stride copies): rn, n (the series' rows) and window_id.
 
-    Grouping the copies by window costs O(rows * width / stride) with partial aggregates, where a sliding frame would
+    Grouping the copies by window costs O(rows * reach / stride) with partial aggregates, where a sliding frame would
     aggregate width rows anew for every row."""
     rn, n = F.row_number().over(ordered(keys)) - 1, F.count(F.lit(1)).over(Window.partitionBy(*keys))
     df = obs.select("*", rn.cast("long").alias("rn"), n.alias("n"))
     low = F.greatest(F.ceil((F.col("rn") - (width - 1)) / stride), F.lit(0))
-    return df.withColumn("window_id", F.explode(F.sequence(low, F.greatest(F.floor(F.col("rn") / stride), low))))
+    high = F.floor((F.col("rn") + (reach or width) - width) / stride)
+    return df.withColumn("window_id", F.explode(F.when(high >= low, F.sequence(low, high))))  # rows between windows go
 
 
 def _complete(df: DataFrame, width: int, partial: bool) -> DataFrame:
@@ -42,12 +43,7 @@ def arrays(obs: DataFrame, width: int, stride: int, partial: bool = False, reach
 
     reach: values go back so many rows from the window's end, or to the start of the series."""
     reach = max(width, reach or width)
-    back = F.col("window_id") * stride + width - 1 - reach  # last row before the reach
-    df = assigned(obs, width, stride)
-    if reach > width:
-        rn = F.col("rn")
-        low = F.greatest(F.ceil((rn - (width - 1)) / stride), F.lit(0))
-        df = df.drop("window_id").withColumn("window_id", F.explode(F.sequence(low, F.greatest(F.floor((rn + reach - width) / stride), low)))).where(rn > back)
+    df = assigned(obs, width, stride, reach=reach)
     inside = F.col("rn") >= F.col("window_id") * stride
     xs = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("rn", "value"))))
     g = df.groupBy(*SERIES, "window_id").agg(F.count_if(inside).alias("__rows"), F.max("n").alias("__n"), F.min(F.when(inside, F.col("signal_0"))).alias("signal_0_start"), F.max("signal_0").alias("signal_0_end"), xs.alias("xs"))

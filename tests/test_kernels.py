@@ -73,12 +73,16 @@ def test_window_edges(spark):
     partial = {r.signal_id: r.values for r in W.arrays(df, 8, 4, partial=True).collect()}
     assert len(partial["short"]) == 5 and partial["exact"] == [float(i) for i in range(8)] and partial["nulls"] == []
     assert W.features(obs(spark, []), 8, 4).count() == 0
+    apart = W.features(obs(spark, [("a", "s", float(i), float(i)) for i in range(20)]), 4, 10).orderBy("window_id").collect()
+    assert [(r.window_id, r.mean, r.signal_0_end) for r in apart] == [(0, 1.5, 3.0), (1, 11.5, 13.0)]
 
 
 def test_reach_and_engines(spark):
     df = obs(spark, [("a", "s", float(i), math.sin(i)) for i in range(200)])
     got = W.arrays(df, 32, 32, reach=64).orderBy("window_id").collect()
     assert [len(r.values) for r in got] == [32, 64, 64, 64, 64, 64] and got[1].signal_0_start == 32
+    half = W.arrays(df, 64, 32, reach=128).orderBy("window_id").collect()
+    assert [len(r.values) for r in half] == [64, 96, 128, 128, 128] and half[2].values[-1] == math.sin(127)
     out = V.signal_vector(df, ["statistics", "spectral", "hurst"], 32, 32)
     assert out.count() == 6 and {"kurtosis", "dominant_freq", "hurst"} <= set(out.columns)
 
