@@ -111,6 +111,42 @@ def test_substrings(spark):
     assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
 
 
+def lost_runs(texts, got, n=50):
+    """Runs of n words of a text that an earlier one holds and no passage of got covers, by brute force."""
+    seen, lost = set(), []
+    for i, t in enumerate(texts):
+        at = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(t or "")]
+        runs = [(tuple(w for _, _, w in at[k : k + n]), at[k][0], at[k + n - 1][1]) for k in range(len(at) - n + 1)]
+        lost += [(i, a, b) for w, a, b in runs if w in seen and not any(x.id == i and x.start <= a and b <= x.end for x in got)]
+        seen |= {w for w, _, _ in runs}
+    return lost
+
+
+def test_substrings_after_partial_quotes(spark):
+    r = np.random.default_rng(5)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    texts = []
+    for _ in range(30):
+        p = new(int(r.integers(52, 110)))
+        for _ in range(4):  # quotes of a part come first
+            a = int(r.integers(0, len(p) - 20))
+            texts.append(new(40) + p[a : a + int(r.integers(6, 60))] + new(40))
+        texts += [new(30) + p + new(30) for _ in range(3)]
+    texts = [" ".join(t) for t in texts]
+    got = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    assert lost_runs(texts, got) == []
+
+
+def test_near_substring_after_a_partial_quote(spark):
+    r = np.random.default_rng(6)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    p = new(64)
+    q = p[:31] + ["other"] + p[32:]
+    texts = [" ".join(t) for t in (new(40) + p[2:30] + new(6) + p[34:62] + new(40), new(40) + p + new(40), new(40) + q + new(40))]
+    got = {(x.id, x.of) for x in substring_dedup.repeated_passages(docs(spark, texts)).collect()}
+    assert (2, 1) in got
+
+
 def luhn(d):
     return sum((lambda v: v - 9 if v > 9 else v)(int(c) * (1 + i % 2)) for i, c in enumerate(reversed(d))) % 10 == 0
 
