@@ -147,6 +147,16 @@ def test_near_substring_after_a_partial_quote(spark):
     assert (2, 1) in got
 
 
+def test_passage_with_a_run_that_the_first_text_repeats():
+    r = np.random.default_rng(7)
+    one, two = r.integers(1, 2**60, 200).astype(np.uint64), r.integers(1, 2**60, 140).astype(np.uint64)
+    two[40:96] = one[100:156]  # a passage of 60 words
+    one[72] = one[128]  # its middle run, 30 words before it
+    assert substring_dedup.passages(one, two, 144) == [(40, 100)]
+    two[60] = 7  # and with an edit it is no longer equal
+    assert substring_dedup.passages(one, two, 144) == [(40, 100)]
+
+
 def luhn(d):
     return sum((lambda v: v - 9 if v > 9 else v)(int(c) * (1 + i % 2)) for i, c in enumerate(reversed(d))) % 10 == 0
 
