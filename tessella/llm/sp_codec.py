@@ -107,7 +107,7 @@ class Codec:
         apart = all(SPACE not in p.lstrip(SPACE) for p, _ in pieces) and not any(kind == 4 for _, kind in pieces)
         encode = lambda texts: self.sp.encode(texts, num_threads=1)
         self.plain = plain
-        #: A row that starts with a space, or holds the mark itself, is encoded whole; where units are not apart, every row.
+        #: A row that starts with a space or ends in one (a lone space is no text of its own), or holds the mark itself, is encoded whole; where units are not apart, every row.
         self.units = _Units(encode, b" ", "▁".encode() if plain and apart else b"(?s:.)", lambda u: u[1:] if u[:1] == b" " else u)
 
     def normalised(self, text: bytes) -> tuple[bytes, np.ndarray]:
@@ -157,7 +157,7 @@ class Codec:
 class _Units(UnitEncoder):
     def odd_rows(self, raw: np.ndarray, off: np.ndarray) -> list[int]:
         full = np.flatnonzero(np.diff(off) > 0)
-        return full[raw[off[full]] == 32].tolist()
+        return full[(raw[off[full]] == 32) | (raw[off[full + 1] - 1] == 32)].tolist()
 
 
 @lru_cache(1)

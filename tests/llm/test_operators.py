@@ -70,6 +70,14 @@ def test_sentencepiece(spark):
     assert sp_codec.encode_documents(docs(spark, [])).count() == 0
 
 
+def test_sentencepiece_one_space_at_the_end(spark):
+    sentencepiece, P = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
+    sp, texts = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), ["tail ", "foo bar ", " ", "a  b ", "a\n ", "mid", "é "]
+    for r in sp_codec.encode_documents(docs(spark, texts)).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == sp.encode(texts[r.doc_id], add_bos=True, add_eos=True), texts[r.doc_id]
+        assert np.frombuffer(r.ends, "<u4")[-2] == len(texts[r.doc_id].encode())
+
+
 def test_character_map():
     m = sp_codec.CharacterMap(b"")
     assert m.longest(b"abc", 0) is None
