@@ -39,6 +39,18 @@ def test_runs(spark, name):
     df.count()
 
 
+LONG = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(LONG), reason="no test tables")
+def test_ridge_proximity_reads_all_rows(spark):
+    from tessella.sources import tables
+
+    last = {r.cohort: r.t for r in tables.lineitem(spark, LONG).groupBy("cohort").agg({"signal_0": "max"}).toDF("cohort", "t").collect()}
+    met = {r.cohort: r.t for r in QUERIES["ridge_proximity"](spark, LONG).groupBy("cohort").agg({"signal_0_end": "max"}).toDF("cohort", "t").collect()}
+    assert max(last.values()) > 2000 and all(last[c] - t < 50 for c, t in met.items())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(ORACLE) <= set(__spark_entry__.queries())
