@@ -389,9 +389,9 @@ def divergences(x, y, n: int = 20) -> dict:
     return {"kl_divergence": kl(p, q), "js_divergence": (kl(p, m) + kl(q, m)) / 2}
 
 
-def pair(x: np.ndarray, y: np.ndarray, least: int = 100, cap: int = 2000) -> dict | None:
+def pair(x: np.ndarray, y: np.ndarray, least: int = 100, cap: int | None = 2000) -> dict | None:
     """All dependence measures of two series, paired by position after gaps are dropped."""
-    x, y = x[np.isfinite(x)][-cap:], y[np.isfinite(y)][-cap:]
+    x, y = (v[np.isfinite(v)][-cap if cap else 0 :] for v in (x, y))
     n = min(len(x), len(y))
     if n < least:
         return None

@@ -148,11 +148,11 @@ def homology(obs: DataFrame, window: int = 60, stride: int = 30, cap: int = 300)
 _PAIR = "n int, correlation double, max_xcorr double, lag_at_max int, xcorr_symmetry double, mutual_info double, normalized_mi double, transfer_entropy_ab double, transfer_entropy_ba double, granger_f_ab double, granger_p_ab double, granger_f_ba double, granger_p_ba double, coint_stat double, cointegrated boolean, half_life double, spread_z double, hedge_ratio double, copula string, copula_param double, copula_aic double, kendall_tau double, spearman_rho double, tail_lower double, tail_upper double, empirical_tail_lower double, empirical_tail_upper double, dtw double, kl_divergence double, js_divergence double"
 
 
-def information_flow(obs: DataFrame, pairs: DataFrame | None = None, least: int = 100, cap: int = 2000) -> DataFrame:
+def information_flow(obs: DataFrame, pairs: DataFrame | None = None, least: int = 100, cap: int | None = 2000) -> DataFrame:
     """Dependence of each pair of signals of a cohort (or of the given pairs: cohort, signal_a, signal_b).
 
-    Series are cut to their newest rows first, so a pair's group has a fixed size; pairs are spread by their own key."""
-    recent = tail(obs, cap).groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("signal_0", "value"))).alias("xs"))
+    Series are cut to their newest rows first, so a pair's group has a fixed size (cap None: whole series); pairs are spread by their own key."""
+    recent = (obs if cap is None else tail(obs, cap)).groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("signal_0", "value"))).alias("xs"))
     a = recent.select("cohort", F.col("signal_id").alias("signal_a"), F.col("xs.value").alias("x"))
     b = recent.select("cohort", F.col("signal_id").alias("signal_b"), F.col("xs.value").alias("y"))
     both = a.join(b, "cohort").where("signal_a < signal_b")
@@ -163,7 +163,7 @@ def information_flow(obs: DataFrame, pairs: DataFrame | None = None, least: int
     def run(batches):
         for pdf in batches:
             with np.errstate(all="ignore"):
-                rows = [(r, s.pair(np.array(r.x, float), np.array(r.y, float), least)) for r in pdf.itertuples()]
+                rows = [(r, s.pair(np.array(r.x, float), np.array(r.y, float), least, cap)) for r in pdf.itertuples()]
             yield pd.DataFrame([{"cohort": r.cohort, "signal_a": r.signal_a, "signal_b": r.signal_b, **m} for r, m in rows if m], columns=["cohort", "signal_a", "signal_b", *names])
 
     spread = both.repartition("cohort", "signal_a", "signal_b")

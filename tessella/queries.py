@@ -167,12 +167,12 @@ def _geometry(spark, d):
 
 
 def _flow(spark, d):
-    return P.information_flow(T.lineitem(spark, d), cap=500)
+    return P.information_flow(T.lineitem(spark, d))
 
 
 def _flow_delta(spark, d):
     o = T.lineitem(spark, d)
-    return P.flow_delta(P.information_flow(o.where("signal_0 <= 400")), P.information_flow(o.where("signal_0 > 400"), cap=400))
+    return P.flow_delta(*(P.information_flow(o.where(c), cap=None) for c in ("signal_0 <= 400", "signal_0 > 400")))
 
 
 def _ridge(spark, d):

@@ -51,6 +51,20 @@ def test_ridge_proximity_reads_all_rows(spark):
     assert max(last.values()) > 2000 and all(last[c] - t < 50 for c, t in met.items())
 
 
+@pytest.mark.skipif(not os.path.isdir(LONG), reason="no test tables")
+def test_information_flow_takes_whole_series(spark):
+    from tessella.functions import series
+    from tessella.sources import tables
+
+    assert {r.n for r in QUERIES["information_flow"](spark, LONG).collect()} >= {2000}
+    o = tables.lineitem(spark, LONG).where("cohort = 'AF' and signal_0 > 400").toPandas()
+    a, b = sorted(set(o.signal_id))[:2]
+    x, y = (o[o.signal_id == s].sort_values("signal_0")["value"].dropna().to_numpy(float) for s in (a, b))
+    assert min(len(x), len(y)) > 2000
+    got = QUERIES["information_flow_delta"](spark, LONG).where(f"cohort = 'AF' and signal_a = '{a}' and signal_b = '{b}' and way = 'ab'").collect()
+    assert [r.f_b for r in got] == pytest.approx([series.granger(x, y)[0]])
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(ORACLE) <= set(__spark_entry__.queries())
