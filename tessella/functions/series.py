@@ -141,7 +141,7 @@ def homology(points: np.ndarray, least: int = 10, cap: int = 120, seed: int = 42
     i, j = np.triu_indices(n, 1)
     order = np.argsort(d[i, j], kind="stable")
     i, j, w = i[order], j[order], d[i, j][order]
-    root, tree, h0 = list(range(n)), np.zeros(len(w), bool), []
+    root, h0 = list(range(n)), []
 
     def find(x):
         while root[x] != x:
@@ -153,27 +153,33 @@ def homology(points: np.ndarray, least: int = 10, cap: int = 120, seed: int = 42
         a, b = find(int(i[e])), find(int(j[e]))
         if a != b:
             root[b] = a
-            tree[e] = True
             h0.append(float(w[e]))
     rank = np.full((n, n), -1)
     rank[i, j] = rank[j, i] = np.arange(len(w))
-    top = np.quantile(w, 0.5)  # loops that die beyond half of all distances are left open
-    m = int((w <= top).sum())
-    triangles = []
-    for e in range(m):
-        c = np.flatnonzero((rank[i[e]] < e) & (rank[j[e]] < e) & (rank[i[e]] >= 0) & (rank[j[e]] >= 0))
-        triangles += [(e, int(rank[i[e], x]), int(rank[j[e], x])) for x in c[:8]]
-    low: dict[int, set] = {}
-    h1 = []
-    for t in triangles:
-        col = set(t)
-        while col and max(col) in low:
-            col ^= low[max(col)]
-        if col:
-            low[max(col)] = col
-            birth, death = float(w[max(col)]), float(w[t[0]])
-            if death > birth and not tree[max(col)]:
-                h1.append(death - birth)
+    # Of the triangles whose longest side is e, those with third corners joined by shorter edges have one boundary up to
+    # earlier triangles (their tetrahedron's), so one of each component of these corners stands for all.
+    near, low, h1 = [0] * n, {}, []
+    for e in range(len(w)):
+        a, b = int(i[e]), int(j[e])
+        lune = near[a] & near[b]
+        while lune:
+            x = (lune & -lune).bit_length() - 1
+            met, open_ = 0, 1 << x
+            while open_:
+                y = (open_ & -open_).bit_length() - 1
+                met |= 1 << y
+                open_ = (open_ | near[y] & lune) & ~met
+            lune &= ~met
+            col = 1 << e | 1 << int(rank[a, x]) | 1 << int(rank[b, x])
+            while col and col.bit_length() in low:
+                col ^= low[col.bit_length()]
+            if col:
+                low[col.bit_length()] = col
+                birth, death = float(w[col.bit_length() - 1]), float(w[e])
+                if death > birth:
+                    h1.append(death - birth)
+        near[a] |= 1 << b
+        near[b] |= 1 << a
     life = np.array([*h0, *h1])
     noise = np.median(life) if len(life) else 0.0
     p = life / life.sum() if len(life) and life.sum() > 0 else np.zeros(0)

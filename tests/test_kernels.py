@@ -92,3 +92,26 @@ def test_normalize_round_trip(spark):
     for m in ("zscore", "robust", "mad", "minmax", "none"):
         back = S.denormalize(S.normalize(df, m)).select("signal_id", "signal_0", "value").collect()
         assert all(abs(r.value - (5.0 if r.signal_id == "c" else r.signal_0**2)) < 1e-6 for r in back)
+
+
+def test_loops_of_a_circle_and_of_all_triangles():
+    from itertools import combinations
+
+    from tessella.functions import series
+
+    a = 2 * np.pi * np.arange(60) / 60
+    got = series.homology(np.column_stack([np.cos(a), np.sin(a)]))
+    assert got["n_loops"] == 1 and abs(got["max_persistence_h1"] - (3**0.5 - 2 * np.sin(np.pi / 60))) < 1e-6
+    for seed in range(5):
+        x = np.random.default_rng(seed).normal(size=(18, 2))
+        d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+        edges = sorted(combinations(range(18), 2), key=lambda e: d[e])
+        rank, low, best = {e: k for k, e in enumerate(edges)}, {}, 0.0
+        for t in sorted((sorted(rank[s] for s in combinations(c, 2)) for c in combinations(range(18), 3)), key=lambda t: t[2]):
+            col = set(t)
+            while col and max(col) in low:
+                col ^= low[max(col)]
+            if col:
+                low[max(col)] = col
+                best = max(best, d[edges[t[2]]] - d[edges[max(col)]])
+        assert abs(series.homology(x)["max_persistence_h1"] - best) < 1e-6
