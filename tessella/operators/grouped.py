@@ -137,12 +137,12 @@ def sensitivities(obs: DataFrame, cap: int = 400) -> DataFrame:
     return _cohorts(tail(obs, cap), of, "signal_id string, sensitivity double, rank int")
 
 
-def homology(obs: DataFrame, window: int = 60, stride: int = 30, cap: int = 300) -> DataFrame:
+def homology(obs: DataFrame, window: int = 60, stride: int = 30) -> DataFrame:
     def of(m, _, t):
         z = (m - m.mean(0)) / np.maximum(m.std(0), 1e-12)
         return [{"signal_0_end": t[e], **s.homology(z[e + 1 - window : e + 1])} for e in range(window - 1, len(z), stride)]
 
-    return _cohorts(tail(obs, cap), of, "signal_0_end double, n_components int, n_loops int, max_persistence_h0 double, max_persistence_h1 double, persistence_entropy double")
+    return _cohorts(obs, of, "signal_0_end double, n_components int, n_loops int, max_persistence_h0 double, max_persistence_h1 double, persistence_entropy double")
 
 
 _PAIR = "n int, correlation double, max_xcorr double, lag_at_max int, xcorr_symmetry double, mutual_info double, normalized_mi double, transfer_entropy_ab double, transfer_entropy_ba double, granger_f_ab double, granger_p_ab double, granger_f_ba double, granger_p_ba double, coint_stat double, cointegrated boolean, half_life double, spread_z double, hedge_ratio double, copula string, copula_param double, copula_aic double, kendall_tau double, spearman_rho double, tail_lower double, tail_upper double, empirical_tail_lower double, empirical_tail_upper double, dtw double, kl_divergence double, js_divergence double"

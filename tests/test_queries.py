@@ -65,6 +65,14 @@ def test_information_flow_takes_whole_series(spark):
     assert [r.f_b for r in got] == pytest.approx([series.granger(x, y)[0]])
 
 
+def test_homology_walks_all_windows(spark):
+    from tessella.operators import grouped
+
+    obs = spark.range(1000).selectExpr("'c' cohort", "explode(array('a', 'b')) signal_id", "cast(id as double) signal_0", "if(signal_id = 'a', sin(id), cos(id)) value")
+    got = sorted(r.signal_0_end for r in grouped.homology(obs).collect())
+    assert got == [float(e) for e in range(59, 1000, 30)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(ORACLE) <= set(__spark_entry__.queries())
