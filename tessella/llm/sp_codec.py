@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .bytesops import buffers
-from .units import UnitEncoder
+from .units import UnitEncoder, rows_with
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -108,7 +108,7 @@ class Codec:
         encode = lambda texts: self.sp.encode(texts, num_threads=1)
         self.plain = plain
         #: A row that starts with a space or ends in one (a lone space is no text of its own), or holds the mark itself, is encoded whole; where units are not apart, every row.
-        self.units = _Units(encode, b" ", "▁".encode() if plain and apart else b"(?s:.)", lambda u: u[1:] if u[:1] == b" " else u)
+        self.units = UnitEncoder(encode, b" ", _odd if plain and apart else lambda raw, off: np.arange(len(off) - 1), lambda u: u[1:] if u[:1] == b" " else u)
 
     def normalised(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and the end the original byte that it comes from."""
@@ -154,10 +154,10 @@ class Codec:
         return back[end - size], back[end]
 
 
-class _Units(UnitEncoder):
-    def odd_rows(self, raw: np.ndarray, off: np.ndarray) -> list[int]:
-        full = np.flatnonzero(np.diff(off) > 0)
-        return full[(raw[off[full]] == 32) | (raw[off[full + 1] - 1] == 32)].tolist()
+def _odd(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    full = np.flatnonzero(np.diff(off) > 0)
+    ends = full[(raw[off[full]] == 32) | (raw[off[full + 1] - 1] == 32)]
+    return np.union1d(ends, rows_with(raw, off, [SPACE.encode()]))
 
 
 @lru_cache(1)

@@ -3,7 +3,8 @@
 Documents are dealt by ranges of their ids, so that each file holds one range in ascending order and a file's, stripe's
 or row group's minimum and maximum prune reads by id; the Bloom filter prunes what the ranges let through. Stripes are
 read in parallel. Each row keeps its part and its start within the part: the global start is the sum of the earlier
-parts' totals (one row a part) and that, so no task sees more than its own range and nothing is moved after the write.
+parts' totals and that, so no task sees more than its own range and nothing is moved after the write. The parts' starts
+(one row a part) lie beside the files, so a lookup of one id reads them and the row groups that may hold it, no more.
 
 Defined results: null or empty text: the end id alone. Null ids come first. Rows of an id that repeats are ordered by
 the text's hash; equal rows are all written. Extra columns are ignored. An empty table gives an empty result.
@@ -22,42 +23,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .units import UnitEncoder
+from .units import UnitEncoder, rows_with
 
 VOCABULARY = "byte_bpe_50k.json"
-#: White space outside ASCII, and the special token: rows with these are encoded whole.
-ODD = rb"<\|endoftext\|>|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-#: How byte-level BPE parts words, and the characters that stand for bytes: fixed values of the format.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTES = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_PLAIN))}
-CACHE = 120_000
+#: White space outside ASCII, and what the special token starts with: rows with these are encoded whole.
+ODD = [x.encode() for x in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"] + [b"<|e"]
+SPACES = b"\t\n\x0b\x0c\r "
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 ORC = {"orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 
 
 @lru_cache(1)
 def encoder(path: str) -> UnitEncoder:
-    import regex
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    whole = lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
-    split, latin, model, known = regex.compile(WORDS).findall, regex.compile("[\0-\u024f\u1e00-\u1eff\u2010-\u2026]*").fullmatch, t.model, {}
-
-    def words(text: str) -> list[int]:
-        """Ids word by word, through the library's model: most of its time for a text is not spent there."""
-        out: list[int] = []
-        for w in split(text):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) > CACHE:
-                    known.clear()
-                ids = known[w] = [x.id for x in model.tokenize(w.encode().decode("latin-1").translate(BYTES))]
-            out += ids
-        return out
-
-    return UnitEncoder(whole, b"\t\n\x0b\x0c\r ", ODD, one=lambda x: words(x) if latin(x) else whole([x])[0])
+    width = np.zeros(t.get_vocab_size(), np.int64)
+    for piece, i in t.get_vocab().items():
+        width[i] = len(piece)  # a character of the vocabulary stands for a byte
+    return UnitEncoder(lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)], SPACES, lambda raw, off: rows_with(raw, off, ODD), width=width)
 
 
 def _encode(vocabulary: str, end: int):
@@ -88,15 +72,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    dealt.mapInArrow(_encode(vocabulary, end), SCHEMA).write.options(**ORC).orc(path)
+    dealt.mapInArrow(_encode(vocabulary, end), SCHEMA).write.options(**ORC).orc(f"{path}/tokens")
+    totals = docs.sparkSession.read.schema(SCHEMA).orc(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals.select("part", before.alias("before")).coalesce(1).write.orc(f"{path}/starts")  # as many rows as shuffle partitions
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids. A filter on doc_id is pushed to the files' statistics and Bloom filters."""
-    rows = spark.read.schema(SCHEMA).orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each part: as many as shuffle partitions
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("part", before.alias("before"))
+    rows, starts = spark.read.schema(SCHEMA).orc(f"{path}/tokens"), spark.read.schema("part int, before long").orc(f"{path}/starts")
     return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
