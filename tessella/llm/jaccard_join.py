@@ -216,8 +216,12 @@ def _run(blocks: DataFrame, size: int, pct: int) -> DataFrame:
 
 def _dealt(members: DataFrame, block: int) -> DataFrame:
     """members: p, node. Adds the region's number of blocks and the block of each member."""
-    counts = members.groupBy("p").agg(F.count(F.lit(1)).alias("m")).select("p", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    return members.join(counts, "p").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    counts = members.groupBy("p").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("p", F.ceil(F.col("m") / block).cast("int").alias("more"))
+    # only regions of more than a block, so members of a hot pivot are not moved to it
+    counts = save(counts, "counts")
+    counts = F.broadcast(counts) if common.small(counts, 32) else counts
+    dealt = members.join(counts, "p", "left").withColumn("blocks", F.coalesce("more", F.lit(1))).drop("more")
+    return dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
