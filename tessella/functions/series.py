@@ -109,25 +109,44 @@ def stability(value: float) -> str:
     """Class by exponent."""
     if not math.isfinite(value):
         return "unknown"
-    for limit, name in ((-0.1, "strongly_stable"), (-0.01, "stable"), (0.01, "marginal"), (0.1, "unstable")):
+    for limit, name in ((-0.1, "asymptotically_stable"), (-0.01, "stable"), (0.01, "marginally_stable"), (0.1, "weakly_unstable")):
         if value < limit:
             return name
     return "chaotic"
 
 
-def slowing_down(y: np.ndarray, window: int = 50, step: int = 10) -> dict:
-    """Rolling lag-1 autocorrelation, variance and skewness of the detrended series; a score of their rise."""
-    y = y[np.isfinite(y)]
-    if len(y) < window + 2 * step:
-        return {"autocorr_trend": math.nan, "variance_trend": math.nan, "skewness_trend": math.nan, "csd_score": math.nan, "detected": False}
-    slope, cut, _ = k.line(y[None])
-    r = y - cut[0] - slope[0] * np.arange(len(y))
-    w = np.lib.stride_tricks.sliding_window_view(r, window)[::step]
-    ac, var, skew = k.autocorrelation(w, 1)[:, 1], w.var(1), k.moments(w)["skewness"]
-    up = lambda v: float(k.line(np.nan_to_num(v)[None])[0][0])
-    at, vt, ratio = up(ac), up(var), var[-1] / max(var[0], 1e-12)
-    score = 0.30 * min(1, max(0, at * len(ac))) + 0.25 * (vt > 0) + 0.25 * min(1, max(0, ac[-1])) + 0.20 * min(1, max(0, math.log(max(ratio, 1e-12)) / math.log(4)))
-    return {"autocorr_trend": at, "variance_trend": vt, "skewness_trend": up(skew), "csd_score": score, "detected": bool(score > 0.6 and ac[-1] > 0.7 and at > 0)}
+#: Metrics of a window of several signals.
+METRICS = ["effective_dim", "condition_number", "total_variance", "eigenvalue_3", "eigenvalue_entropy", "ratio_2_1", "ratio_3_1", "mean_dist_to_centroid", "mean_abs_correlation", "hurst", "perm_entropy", "kurtosis", "trend_strength", "zero_crossing_rate", "centroid_kurtosis", "centroid_perm_entropy", "centroid_spectral_flatness", "algebraic_connectivity"]
+
+
+def laplacian(weights: np.ndarray) -> np.ndarray:
+    """Normalised Laplacian of a weighted graph; a node without weight stays apart."""
+    degree = weights.sum(1)
+    root = np.where(degree > 0, 1 / np.sqrt(np.maximum(degree, 1e-300)), 0.0)
+    return np.diag((degree > 0).astype(float)) - root[:, None] * weights * root[None]
+
+
+def window_metrics(m: np.ndarray) -> dict:
+    """METRICS of a matrix of signals (rows) over a window: spectrum of their covariance, spread about the mean curve, its kind, links."""
+    out = dict.fromkeys(METRICS, math.nan)
+    ok = m[np.isfinite(m).all(1)]
+    if len(ok) >= 2:
+        val = np.maximum(np.linalg.eigvalsh(np.cov(ok))[::-1], 0)
+        total, third = val.sum(), val[2] if len(val) > 2 else math.nan
+        if total > 0:
+            p = val[val > 0] / total
+            out |= {"effective_dim": total**2 / (val**2).sum(), "condition_number": val[0] / max(val[-1], 1e-15), "total_variance": total, "eigenvalue_3": third, "eigenvalue_entropy": -(p * np.log(p)).sum(), "ratio_2_1": val[1] / val[0], "ratio_3_1": third / val[0]}
+        links = np.abs(np.corrcoef(ok))
+        out["mean_abs_correlation"] = np.nanmean(links[np.triu_indices(len(ok), 1)])
+        if len(ok) >= 3 and np.isfinite(links).all():
+            np.fill_diagonal(links, 0)
+            out["algebraic_connectivity"] = np.linalg.eigvalsh(laplacian(links))[1]
+    seen = np.isfinite(m).any(0)
+    centre = np.divide(np.nansum(m, 0), np.isfinite(m).sum(0), out=np.full(m.shape[1], math.nan), where=seen)
+    out["mean_dist_to_centroid"] = np.sqrt(np.nansum((m - centre) ** 2, axis=1)).mean()
+    kind = {name: float(x[0]) for name, x in k.typology(centre[None]).items()}
+    out |= {name: kind[name] for name in ("hurst", "perm_entropy", "kurtosis", "trend_strength", "zero_crossing_rate")}
+    return out | {"centroid_kurtosis": kind["kurtosis"], "centroid_perm_entropy": kind["perm_entropy"], "centroid_spectral_flatness": kind["spectral_flatness"]}
 
 
 def homology(points: np.ndarray, least: int = 10, cap: int = 120, seed: int = 42) -> dict:
@@ -411,22 +430,6 @@ def pair(x: np.ndarray, y: np.ndarray, least: int = 100, cap: int | None = 2000)
 # --- curves and fleets -----------------------------------------------------------------------------------------------
 
 
-def curve(y: np.ndarray) -> dict:
-    """Features of a curve over its life."""
-    y = y[np.isfinite(y)]
-    if len(y) < 3:
-        return {}
-    third = max(1, len(y) // 3)
-    a, b, c = y[:third], y[third : len(y) - third], y[-third:]
-    d = np.diff(y)
-    slope, cut, r2 = k.line(y[None])
-    m = k.moments(y[None])
-    return {
-        "mean": y.mean(), "std": y.std(), "min": y.min(), "max": y.max(), "range": np.ptp(y), "first": y[0], "last": y[-1], "delta": y[-1] - y[0], "slope": slope[0], "r2": r2[0], "early_mean": a.mean(), "mid_mean": b.mean() if len(b) else y.mean(), "late_mean": c.mean(),
-        "late_early": c.mean() - a.mean(), "early_std": a.std(), "late_std": c.std(), "max_step": np.abs(d).max(), "mean_step": d.mean(), "step_std": d.std(), "argmax": y.argmax() / len(y), "argmin": y.argmin() / len(y), "monotone": np.abs(np.sign(d).sum()) / len(d), "kurtosis": m["kurtosis"][0], "skewness": m["skewness"][0], "crossings": k.zero_crossings((y - y.mean())[None])[0],
-    }
-
-
 def ward(d: np.ndarray, count: int) -> np.ndarray:
     """Labels of that many clusters by Ward's linkage on a distance matrix (Lance-Williams updates)."""
     n = len(d)

@@ -51,8 +51,14 @@ def eigen(matrix: np.ndarray) -> dict | None:
     total, p = val.sum(), val / max(val.sum(), 1e-300)
     dim = lambda v: v.sum() ** 2 / max((v**2).sum(), 1e-300)
     h = float(-(p[p > 0] * np.log2(p[p > 0])).sum())
-    jack = [dim(np.maximum(np.linalg.eigvalsh(np.cov(np.delete(m, i, 0).T, ddof=1)), 0)) for i in range(len(m))] if 3 <= len(m) <= 64 else []
-    half = _t_quantile(len(m) - 1) * math.sqrt((len(m) - 1) / len(m) * ((np.array(jack) - np.mean(jack)) ** 2).sum()) if jack else math.nan
+    jack = []
+    if 3 <= len(m) <= 64:  # all leave-one-out covariances at once
+        n = len(m)
+        rest = np.broadcast_to(m, (n, *m.shape))[~np.eye(n, dtype=bool)].reshape(n, n - 1, -1)
+        rest = rest - rest.mean(1, keepdims=True)
+        spectra = np.maximum(np.linalg.eigvalsh(np.einsum("nij,nik->njk", rest, rest) / (n - 2)), 0)
+        jack = spectra.sum(1) ** 2 / np.maximum((spectra**2).sum(1), 1e-300)
+    half = _t_quantile(len(m) - 1) * math.sqrt((len(m) - 1) / len(m) * ((np.array(jack) - np.mean(jack)) ** 2).sum()) if len(jack) else math.nan
     return {
         "values": val, "vectors": vec, "scores": z @ vec, "effective_dim": dim(val), "total_variance": total, "entropy": h, "entropy_norm": h / math.log2(len(val)) if len(val) > 1 else 0.0,
         "condition_number": val[0] / val[-1] if val[-1] > 1e-12 else math.inf, "ratio": val[1] / val[0] if len(val) > 1 and val[0] > 0 else math.nan, "half": half,
@@ -118,13 +124,18 @@ def signal_geometry(windows: DataFrame, features: list[str], keys: list[str] = A
     return df.select(*keys, "signal_id", F.sqrt("__sq").alias("distance"), "magnitude", guarded(F.col("__sq"), F.sum("__sq").over(w), 1e-12).alias("contribution"))
 
 
-def dynamics(geometry: DataFrame, value: str = "effective_dim", keys: tuple[str, ...] = ("cohort", "engine")) -> DataFrame:
-    """Velocity, acceleration, jerk and curvature of a geometry series over its own coordinate."""
+def dynamics(geometry: DataFrame, value: str = "effective_dim", keys: tuple[str, ...] = ("cohort", "engine"), smooth: int = 1) -> DataFrame:
+    """Velocity, acceleration, jerk, curvature and speed of a geometry series over its own coordinate; zero under three rows.
+
+    smooth: the series is first replaced by means of so many rows (odd), as if zeros lay beyond its ends, where it is longer."""
     w = Window.partitionBy(*keys).orderBy("signal_0_end")
-    df = geometry.select(*keys, "signal_0_end", value)
+    df = geometry.select(*keys, "signal_0_end", value).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    if smooth > 1:
+        near = F.sum(value).over(w.rowsBetween(-(smooth // 2), smooth // 2)) / smooth
+        df = df.withColumn(value, F.when(F.col("__n") > smooth, near).otherwise(F.col(value)))
     for new, old in (("velocity", value), ("acceleration", "velocity"), ("jerk", "acceleration")):
-        df = df.withColumn(new, gradient(F.col(old), F.col("signal_0_end"), w))
-    return df.withColumn("curvature", F.abs("acceleration") / F.pow(1 + F.col("velocity") ** 2, 1.5))
+        df = df.withColumn(new, F.when(F.col("__n") >= 3, gradient(F.col(old), F.col("signal_0_end"), w)).otherwise(0.0))
+    return df.drop("__n").withColumns({"curvature": F.abs("acceleration") / F.pow(1 + F.col("velocity") ** 2, 1.5), "speed": F.abs("velocity")})
 
 
 def collapse(series: DataFrame, limit: float = -0.05, least: int = 3, keys: tuple[str, ...] = ("cohort", "engine")) -> DataFrame:
@@ -139,36 +150,53 @@ def collapse(series: DataFrame, limit: float = -0.05, least: int = 3, keys: tupl
 
 
 def thermodynamics(geometry: DataFrame) -> DataFrame:
-    """Energy (mean effective dimension), temperature (variance of its steps), entropy of the eigenvalue sums, free energy."""
-    w = Window.partitionBy("cohort", "engine").orderBy("signal_0_end")
-    step = guarded(F.col("effective_dim") - F.lag("effective_dim").over(w), F.col("signal_0_end") - F.lag("signal_0_end").over(w))
-    vals = [f"eigenvalue_{i}" for i in range(1, 6)]
-    df = geometry.withColumn("__v", step)
-    agg = df.groupBy("cohort").agg(F.avg("effective_dim").alias("energy"), F.stddev_samp("effective_dim").alias("energy_std"), F.var_pop("__v").alias("temperature"), *[F.sum(_finite(v)).alias(f"__{v}") for v in vals])
-    total = reduce(Column.__add__, [F.coalesce(F.col(f"__{v}"), F.lit(0.0)) for v in vals])
-    terms = [F.coalesce(guarded(F.col(f"__{v}"), total), F.lit(0.0)) for v in vals]
-    h = reduce(Column.__add__, [F.when(p > 0, -p * F.ln(F.when(p > 0, p))).otherwise(0.0) for p in terms])
-    out = agg.withColumn("entropy", h).drop(*[f"__{v}" for v in vals])
+    """By cohort: energy (mean effective dimension), temperature (variance of its steps over the coordinate, rows in order of
+    window end and engine), entropy of all positive eigenvalues of all windows, free energy, and the number of rows."""
+    w = Window.partitionBy("cohort").orderBy("signal_0_end", "engine")
+    dt = F.col("signal_0_end") - F.lag("signal_0_end").over(w)
+    step = (F.col("effective_dim") - F.lag("effective_dim").over(w)) / F.when(F.abs(dt) < 1e-12, 1e-12).otherwise(dt)
+    vals = F.array(*[F.col(f"eigenvalue_{i}") for i in range(1, 6) if f"eigenvalue_{i}" in geometry.columns])
+    df = geometry.withColumns({"__v": step, "__e": F.filter(vals, lambda x: (x > 0) & ~F.isnan(x))})
+    total = F.aggregate("__e", F.lit(0.0), lambda acc, x: acc + x)
+    df = df.withColumn("__total", F.sum(total).over(Window.partitionBy("cohort")))
+    h = F.aggregate("__e", F.lit(0.0), lambda acc, x: acc - x / F.col("__total") * F.ln(x / F.col("__total") + 1e-10))
+    out = df.groupBy("cohort").agg(F.sum(h).alias("entropy"), F.avg("effective_dim").alias("energy"), F.stddev_samp("effective_dim").alias("energy_std"), F.when(F.count("__v") >= 2, F.var_pop("__v")).alias("temperature"), F.count(F.lit(1)).alias("n_samples"))
     return out.withColumn("free_energy", F.col("energy") - F.col("temperature") * F.col("entropy"))
 
 
-def velocity_field(obs: DataFrame) -> DataFrame:
-    """Speed, acceleration along and across the motion, and curvature of a cohort's z-scored state, row by row."""
-    by = ["cohort", "signal_id"]
-    stats = obs.groupBy(*by).agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    z = obs.join(stats, by).select("cohort", "signal_id", "signal_0", ((F.col("value") - F.col("m")) / F.when(F.col("s") < 1e-10, 1.0).otherwise(F.col("s"))).alias("z"))
-    w = Window.partitionBy(*by).orderBy("signal_0")
-    v = z.withColumn("v", gradient(F.col("z"), F.col("signal_0"), w)).withColumn("a", gradient(F.col("v"), F.col("signal_0"), w))
-    s = v.groupBy("cohort", "signal_0").agg(F.count(F.lit(1)).alias("n_signals"), F.sum(F.col("v") ** 2).alias("vv"), F.sum(F.col("a") ** 2).alias("aa"), F.sum(F.col("v") * F.col("a")).alias("va"), F.max_by("signal_id", F.struct(F.abs("v"), "signal_id")).alias("dominant_signal"))
-    speed, along = F.sqrt("vv"), guarded(F.col("va"), F.sqrt("vv"), 1e-12)
+def velocity_field(obs: DataFrame, components: bool = False) -> DataFrame:
+    """Motion of a cohort's z-scored state between neighbouring rows: speed, acceleration along and across it, curvature, the
+    signals that move most, and how many signals share the motion (the exponential of the entropy of the direction).
+
+    components: the velocity of each signal instead. One shuffle by series and one by row: no join."""
+    series = Window.partitionBy("cohort", "signal_id")
+    w = series.orderBy("signal_0")
+    m, s = F.avg("value").over(series), F.stddev_pop("value").over(series)
+    z = obs.select("cohort", "signal_id", "signal_0", F.when(s > 1e-10, guarded(F.col("value") - m, s, 1e-10)).otherwise(F.col("value")).alias("z"))
+    gap = F.lead("signal_0").over(w) - F.col("signal_0")
+    v = z.withColumn("dt", F.when(gap < 1e-12, 1e-12).otherwise(gap)).withColumns({"v": (F.lead("z").over(w) - F.col("z")) / F.col("dt"), "end": F.lead("signal_0").over(w)})
+    if components:
+        return v.where("v is not null").select("cohort", "signal_id", F.col("signal_0").alias("signal_0_start"), F.col("end").alias("signal_0_end"), F.col("v").alias("velocity"))
+    v = v.withColumn("a", (F.lead("v").over(w) - F.col("v")) / ((F.col("dt") + F.lead("dt").over(w)) / 2)).where("a is not null")
+    at = ["cohort", "signal_0", "end"]
+    row = Window.partitionBy(*at)
+    v = v.withColumns({"vv": F.sum(F.col("v") ** 2).over(row), "n": F.count(F.lit(1)).over(row)})
+    share = (F.when(F.col("vv") > 1e-24, F.col("v") ** 2 / F.when(F.col("vv") > 1e-24, F.col("vv"))).otherwise(0.0) + 1e-12) / (F.when(F.col("vv") > 1e-24, 1.0).otherwise(0.0) + F.col("n") * 1e-12)
+    most = lambda c: F.min_by("signal_id", F.struct(-F.abs(c), "signal_id"))
+    g = v.withColumn("share", share).groupBy(*at).agg(F.max("n").alias("n_signals"), F.max("vv").alias("vv"), F.sum(F.col("a") ** 2).alias("aa"), F.sum(F.col("v") * F.col("a")).alias("va"), most("v").alias("dominant_motion_signal"), F.max(F.abs("v")).alias("top"), most("a").alias("dominant_accel_signal"), F.exp(-F.sum(F.col("share") * F.ln(F.col("share") + 1e-12))).alias("motion_dimensionality"))
+    speed = F.sqrt("vv")
+    along = F.coalesce(guarded(F.col("va"), speed, 1e-12), F.lit(0.0))
     across = F.sqrt(F.greatest(F.col("aa") - along**2, F.lit(0.0)))
-    return s.select("cohort", "signal_0", "n_signals", "dominant_signal", speed.alias("speed"), F.sqrt("aa").alias("acceleration"), along.alias("acceleration_parallel"), across.alias("acceleration_perpendicular"), guarded(across, F.col("vv"), 1e-12).alias("curvature"))
+    return g.select(
+        "cohort", F.col("end").alias("signal_0_end"), F.col("signal_0").alias("signal_0_start"), "n_signals", speed.alias("speed"), F.sqrt("aa").alias("acceleration_magnitude"), along.alias("acceleration_parallel"), across.alias("acceleration_perpendicular"),
+        (across / (F.col("vv") + 1e-12)).alias("curvature"), "dominant_motion_signal", F.coalesce(guarded(F.col("top"), speed, 1e-12), F.lit(0.0)).alias("dominant_motion_fraction"), "dominant_accel_signal", "motion_dimensionality",
+    )
 
 
 def arc_length(field: DataFrame) -> DataFrame:
-    w = Window.partitionBy("cohort").orderBy("signal_0")
-    step = F.col("speed") * (F.col("signal_0") - F.lag("signal_0").over(w))
-    return field.withColumn("arc_length", F.sum(F.coalesce(step, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy("cohort").orderBy("signal_0_end")
+    step = F.col("speed") * (F.col("signal_0_end") - F.col("signal_0_start"))
+    return field.withColumn("arc_length", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def baseline(obs: DataFrame, share: float = 0.2) -> DataFrame:

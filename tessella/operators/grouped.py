@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as s
-from .windows import SERIES, guarded, tail
+from .curves import curve_features
+from .windows import SERIES, assigned, gradient, guarded, ordered, r_squared, tail
 
 
 def _series(obs: DataFrame, of, schema: str, keys: list[str] = SERIES) -> DataFrame:
@@ -77,18 +78,75 @@ def ftle_rolling(obs: DataFrame, width: int = 200, stride: int = 50) -> DataFram
 
 
 def ridge_proximity(rolling: DataFrame, field: DataFrame, ridge: float = 0.05, urgent: float = 0.001) -> DataFrame:
-    """Speed times the gradient of the exponent where both are known: how soon a ridge is met."""
+    """Speed times the gradient of the exponent where both are known: how soon a ridge is met, and how urgent that is.
+
+    Cohorts with under three common coordinates and series with under three rows have no result; time_to_ridge is infinite
+    where nothing approaches."""
     w = Window.partitionBy(*SERIES).orderBy("signal_0_end")
-    g = rolling.withColumn("ftle_gradient", guarded(F.col("ftle") - F.lag("ftle").over(w), F.col("signal_0_end") - F.lag("signal_0_end").over(w)))
-    j = g.join(field.select("cohort", F.col("signal_0").alias("signal_0_end"), "speed"), ["cohort", "signal_0_end"])
-    u = F.col("speed") * F.col("ftle_gradient")
-    j = j.withColumn("urgency", u).withColumn("time_to_ridge", F.when(u > urgent, (ridge - F.col("ftle")) / u))
-    kind = F.when(F.col("ftle") >= ridge, "on_ridge").when(F.col("urgency") > urgent, "approaching").when(F.col("urgency") < -urgent, "receding").otherwise("stable")
-    return j.withColumn("class", kind)
+    g = rolling.withColumns({"ftle_gradient": gradient(F.col("ftle"), F.col("signal_0_end"), w), "__n": F.count(F.lit(1)).over(Window.partitionBy(*SERIES))})
+    inner = F.lead("signal_0_end").over(w).isNotNull() & F.lag("signal_0_end").over(w).isNotNull()
+    g = g.withColumn("ftle_acceleration", F.when(inner, F.col("ftle_gradient") - F.lag("ftle_gradient").over(w)).otherwise(0.0)).where(F.col("__n") >= 3).drop("__n")
+    j = g.join(field.select("cohort", "signal_0_end", "speed"), ["cohort", "signal_0_end"])
+    keys = j.groupBy("cohort").agg(F.count_distinct("signal_0_end").alias("k")).where("k >= 3").select("cohort")  # a row for each cohort
+    j = j.join(keys, "cohort", "left_semi").withColumn("urgency", F.col("speed") * F.col("ftle_gradient"))
+    near = (F.col("urgency") > urgent) & (F.abs("ftle_gradient") > 1e-6)
+    left = F.greatest(F.lit(0.0), ridge - F.col("ftle")) / (F.abs("urgency") + 1e-12)
+    high, coming = F.col("ftle") > ridge, F.col("urgency") > urgent
+    kind = F.when(high & coming, "critical").when(high, "elevated").when(coming, "warning").otherwise("nominal")
+    return j.withColumns({"time_to_ridge": F.when(near, left).otherwise(float("inf")), "urgency_class": kind})
 
 
 def slowing_down(obs: DataFrame, window: int = 50, step: int = 10) -> DataFrame:
-    return _series(obs, lambda y, _: [s.slowing_down(y, window, step)], "autocorr_trend double, variance_trend double, skewness_trend double, csd_score double, detected boolean")
+    """Critical slowing down of each detrended series: lag-1 autocorrelation, variance and skewness of hopping windows, their trends
+    and a score. Null values are left out; series under two windows have no measures and score 0. Aggregates only: the line
+    through the whole series, then one row for each window."""
+    series = Window.partitionBy(*SERIES)
+    ok = obs.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    rows = assigned(ok, window, step).where(F.col("n") >= 2 * window)
+    line = ok.withColumn("__i", F.row_number().over(ordered()) - 1).groupBy(*SERIES).agg(F.regr_slope("value", "__i").alias("__slope"), F.regr_intercept("value", "__i").alias("__cut"))
+    r = rows.join(line, SERIES).withColumn("r", F.col("value") - F.col("__cut") - F.col("__slope") * F.col("rn"))
+    one = Window.partitionBy(*SERIES, "window_id")
+    r = r.withColumn("e", F.col("r") - F.avg("r").over(one)).withColumn("f", F.lag("e").over(one.orderBy("rn")))
+    made = r.groupBy(*SERIES, "window_id").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("e") * F.col("f")).alias("up"), F.sum(F.col("e") ** 2).alias("ee"), F.avg(F.col("e") ** 3).alias("m3")).where(F.col("k") == window)
+    var = F.col("ee") / window
+    made = made.withColumns({"ac": guarded(F.col("up"), F.col("ee"), 1e-10), "var": var, "skew": F.when(F.sqrt(var) < 1e-10, 0.0).otherwise(F.col("m3") / F.pow(F.when(var > 0, F.sqrt(var)), 3)), "last": F.max("window_id").over(series)})
+    at = F.col("window_id").cast("double")
+    end = lambda c: F.max(F.when(F.col("window_id") == F.col("last"), F.col(c)))
+    base = F.max(F.when(F.col("window_id") == 0, F.col("var")))
+    r2 = lambda c: r_squared(F.col(c), F.when(F.col(c).isNotNull(), at))
+    g = made.groupBy(*SERIES).agg(end("ac").alias("autocorrelation_lag1"), end("var").alias("variance"), end("skew").alias("skewness"), F.regr_slope(F.col("ac"), at).alias("autocorr_trend"), r2("ac").alias("autocorr_trend_r2"), F.regr_slope(F.col("var"), at).alias("variance_trend"), r2("var").alias("variance_trend_r2"), F.when(base > 0, end("var") / F.when(base > 0, base)).alias("variance_ratio"))
+    part = lambda c, weight: (F.coalesce(weight * F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), F.lit(0.0)), F.when(c.isNotNull(), weight).otherwise(0.0))
+    parts = [part(F.col("autocorrelation_lag1"), 0.3), part(F.col("autocorr_trend") * 10, 0.25), part(F.col("variance_trend") * 100, 0.25), part((F.coalesce("variance_ratio", F.lit(1.0)) - 1) / 2, 0.2)]
+    score, weight = (sum((x[i] for x in parts), F.lit(0.0)) for i in (0, 1))
+    ac = F.col("autocorrelation_lag1")
+    g = g.withColumns({"recovery_rate": F.when((ac > 0) & (ac < 1), -F.ln(F.when(ac > 0, ac))), "csd_score": score / weight})
+    g = g.withColumn("csd_detected", F.coalesce((F.col("csd_score") > 0.6) & (ac > 0.7) & (F.col("variance_trend") > 0), F.lit(False)))
+    every = obs.select(*SERIES).distinct().join(g, SERIES, "left")
+    return every.withColumns({"csd_score": F.coalesce("csd_score", F.lit(0.0)), "csd_detected": F.coalesce("csd_detected", F.lit(False))})
+
+
+def fingerprint_windows(obs: DataFrame, width: int = 50, stride: int = 24) -> DataFrame:
+    """cohort, signal_0_end and 18 metrics of each hopping window of a cohort's z-scored signals (18 columns of METRICS)."""
+    series = Window.partitionBy(*SERIES)
+    m, sd = F.avg("value").over(series), F.stddev_pop("value").over(series)
+    z = obs.withColumn("value", F.when(sd > 1e-10, guarded(F.col("value") - m, sd, 1e-10)).otherwise(F.col("value") - m))
+    rows = assigned(z, width, stride)
+    packed = rows.groupBy("cohort", "window_id", "signal_id").agg(F.count(F.lit(1)).alias("k"), F.max("signal_0").alias("signal_0_end"), F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("x")).where(F.col("k") == width)
+    packed = packed.groupBy("cohort", "window_id").agg(F.max("signal_0_end").alias("signal_0_end"), F.array_sort(F.collect_list(F.struct("signal_id", F.col("x.value").alias("x")))).alias("x"))
+
+    def run(batches):
+        for pdf in batches:
+            with np.errstate(all="ignore"):
+                made = [{"cohort": r.cohort, "signal_0_end": r.signal_0_end, **s.window_metrics(np.array([[np.nan if v is None else v for v in y["x"]] for y in r.x], float))} for r in pdf.itertuples()]
+            yield pd.DataFrame(made, columns=["cohort", "signal_0_end", *s.METRICS])
+
+    # a window's signals of one cohort: a small matrix each, many of them a batch
+    return packed.select("cohort", "signal_0_end", "x").mapInPandas(run, "cohort string, signal_0_end double, " + ", ".join(f"{c} double" for c in s.METRICS))
+
+
+def fingerprint(obs: DataFrame, width: int = 50, stride: int = 24) -> DataFrame:
+    """A row of 450 numbers for each cohort: the 25 curve features of each of the 18 window metrics."""
+    return curve_features(fingerprint_windows(obs, width, stride), ["cohort"], "signal_0_end", s.METRICS)
 
 
 def saddles(obs: DataFrame) -> DataFrame:
@@ -183,21 +241,6 @@ def flow_delta(before: DataFrame, after: DataFrame, p: float = 0.05) -> DataFram
     return j.withColumn("change", F.when(sb & ~sa, "emerged").when(sa & ~sb, "dissolved").when(~sa & ~sb, "absent").when(ratio > 1.5, "strengthened").when(ratio < 0.67, "weakened").otherwise("stable"))
 
 
-def curves(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
-    """Curve features of each value column over its group."""
-    names = list(s.curve(np.arange(9.0) ** 2))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        row = dict(zip(keys, key))
-        for v in values:
-            got = s.curve(pdf[v].to_numpy(float))
-            row |= {f"{v}_{n}": got.get(n, np.nan) for n in names}
-        return pd.DataFrame([row])
-
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", " + ", ".join(f"`{v}_{n}` double" for v in values for n in names))
-
-
 def trajectory_library(df: DataFrame, order: str, values: list[str], points: int = 50, most: int = 20) -> DataFrame:
     """Cohorts clustered by warped distance of their resampled, scaled trajectories; the number of clusters by silhouette.
 

@@ -51,8 +51,9 @@ def correlations(obs: DataFrame, least: int = 10) -> DataFrame:
     a = obs.select("cohort", F.col("signal_id").alias("signal_a"), "signal_0", F.col("value").alias("x"))
     both = a.join(b, (F.col("cohort") == F.col("c")) & (F.col("signal_0") == F.col("at")) & (F.col("signal_a") < F.col("signal_b")))
     n = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1))
-    spread = (F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0)
-    return both.groupBy("cohort", "signal_a", "signal_b").agg(n.alias("n"), F.when(spread, F.corr("x", "y")).alias("correlation")).where(F.col("n") >= least)
+    pair = F.col("x").isNotNull() & F.col("y").isNotNull()
+    x, y = F.when(pair, F.col("x")), F.when(pair, F.col("y"))
+    return both.groupBy("cohort", "signal_a", "signal_b").agg(n.alias("n"), guarded(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("correlation")).where(F.col("n") >= least)
 
 
 def gaussian_fingerprint(windows: DataFrame, features: list[str]) -> DataFrame:

@@ -56,6 +56,12 @@ def guarded(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(F.abs(b) > least, a / F.when(F.abs(b) > least, b))
 
 
+def r_squared(y: Column, x: Column) -> Column:
+    """Squared correlation as an aggregate over pairs (null in both or in none); 0 without spread, where corr() would divide by zero."""
+    spread = F.var_pop(y) * F.var_pop(x)
+    return F.when(spread > 0, guarded(F.pow(F.covar_pop(y, x), 2), spread)).when(F.count(y) > 0, 0.0)
+
+
 def features(obs: DataFrame, width: int = 32, stride: int = 8) -> DataFrame:
     """Statistics of each window that need no array: moments, amplitude, trend, pulsation, change."""
     x, t = F.col("value"), F.col("rn").cast("double")

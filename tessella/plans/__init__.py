@@ -1 +1 @@
-
+"""What to run: manifests, layered configuration and the order of stages."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import geometry_queries as Q
 from .operators import geometry as G
 from .operators import grouped as P
 from .operators import statistics as S
@@ -143,10 +144,6 @@ _BASE = "SELECT cohort, signal_id, avg(value) AS base_mean, stddev_samp(value) A
 _ZB = f"SELECT o.cohort, o.signal_0, CASE WHEN base_std > 1e-10 THEN (value - base_mean) / base_std END AS z FROM ({T.LINEITEM}) o JOIN ({_BASE.format(obs=T.LINEITEM)}) USING (cohort, signal_id)"
 
 
-def _velocity(spark, d):
-    return G.arc_length(G.velocity_field(T.lineitem(spark, d)))
-
-
 ENGINE_SETS = {
     "spectral": ["spectral", "frequency_bands", "fundamental_freq", "harmonics", "thd", "snr"],
     "envelope": ["envelope", "phase_coherence", "hilbert_stability", "wavelet_stability"],
@@ -184,22 +181,6 @@ def _fleet(spark, d):
     return P.trajectory_library(W.features(T.orders(spark, d), WIDTH, STRIDE).groupBy("cohort", "window_id").agg(F.avg("rms").alias("rms"), F.avg("rate_std").alias("rate_std")), "window_id", ["rms", "rate_std"])
 
 
-def _pairs(spark, d):
-    """Distance, cosine and correlation of signals' feature vectors in each window."""
-    fs = ["rms", "rate_std", "peak"]
-    w = _centroid_obs(spark, d)
-    a = w.select("cohort", "signal_0_end", F.col("signal_id").alias("signal_a"), *[F.col(f).alias(f"a_{f}") for f in fs])
-    b = w.select("cohort", "signal_0_end", F.col("signal_id").alias("signal_b"), *[F.col(f).alias(f"b_{f}") for f in fs])
-    j = a.join(b, ["cohort", "signal_0_end"]).where("signal_a < signal_b")
-    dot = sum((F.col(f"a_{f}") * F.col(f"b_{f}") for f in fs), F.lit(0.0))
-    la, lb = (F.sqrt(sum((F.col(f"{s}_{f}") ** 2 for f in fs), F.lit(0.0))) for s in "ab")
-    gap = F.sqrt(sum(((F.col(f"a_{f}") - F.col(f"b_{f}")) ** 2 for f in fs), F.lit(0.0)))
-    return rounded(j.select("cohort", "signal_0_end", "signal_a", "signal_b", gap.alias("distance"), W.guarded(dot, la * lb, 1e-12).alias("cosine")))
-
-
-_PF = ["rms", "rate_std", "peak"]
-_PAIRS = f"SELECT a.cohort, a.signal_0_end, a.signal_id AS signal_a, b.signal_id AS signal_b, round(sqrt({' + '.join(f'(a.{f} - b.{f}) ^ 2' for f in _PF)}), 8) AS distance, round(({' + '.join(f'a.{f} * b.{f}' for f in _PF)}) / (sqrt({' + '.join(f'a.{f} ^ 2' for f in _PF)}) * sqrt({' + '.join(f'b.{f} ^ 2' for f in _PF)})), 8) AS cosine FROM ({_LFEATURES}) a JOIN ({_LFEATURES}) b ON a.cohort = b.cohort AND a.signal_0_end = b.signal_0_end AND a.signal_id < b.signal_id"
-
 QUERIES = {
     "window_features": window_features,
     "window_summary": window_summary,
@@ -221,38 +202,26 @@ QUERIES = {
     "gradient": _gradient,
     "tail": _tail,
     "cohort_centroid": lambda s, d: rounded(G.centroid(_centroid_obs(s, d), ["rms", "rate_std"])),
-    "signal_pairwise": _pairs,
     "cohort_baseline": _baseline,
     "observation_geometry": _scores,
-    "velocity_field": _velocity,
-    "signal_geometry": lambda s, d: G.signal_geometry(_centroid_obs(s, d), ["rms", "rate_std"]),
-    "cohort_geometry": lambda s, d: _geometry(s, d).drop("signals", "features", "pc_loadings", "feature_loadings"),
     "signal_positions": lambda s, d: G.signal_positions(_geometry(s, d)),
     "feature_loadings": lambda s, d: G.feature_loadings(_geometry(s, d)),
-    "signal_dominance": lambda s, d: G.dominance(G.signal_positions(_geometry(s, d))),
-    "geometry_dynamics": lambda s, d: G.dynamics(_geometry(s, d)),
-    "geometry_collapse": lambda s, d: G.collapse(G.dynamics(_geometry(s, d)), -0.005),
-    "geometry_wide": lambda s, d: G.wide(_geometry(s, d)),
-    "thermodynamics": lambda s, d: G.thermodynamics(_geometry(s, d)),
-    "system_vector": lambda s, d: G.system_vector(_geometry(s, d)),
     "breaks": lambda s, d: P.breaks(T.events(s, d)),
     "break_summary": lambda s, d: P.summarize_breaks(P.breaks(T.events(s, d))),
     "ftle": lambda s, d: P.ftle(T.events(s, d)),
     "ftle_both": lambda s, d: P.ftle_both(T.orders(s, d)),
     "ftle_intervention": lambda s, d: P.ftle_around(T.orders(s, d), 250.0),
     "ftle_rolling": lambda s, d: P.ftle_rolling(T.orders(s, d)),
-    "lyapunov": lambda s, d: P.ftle(T.events(s, d), method="kantz"),
+    "lyapunov": lambda s, d: P.ftle(T.events(s, d)),
     "ridge_proximity": _ridge,
-    "critical_slowing_down": lambda s, d: P.slowing_down(T.events(s, d)),
     "saddle_detection": lambda s, d: P.saddles(T.events(s, d)),
     "attractor_reconstruction": lambda s, d: P.attractors(T.events(s, d)),
     "trajectory_sensitivity": lambda s, d: P.sensitivities(T.lineitem(s, d)),
     "persistent_homology": lambda s, d: P.homology(T.lineitem(s, d)),
     "information_flow": _flow,
     "information_flow_delta": _flow_delta,
-    "curve_features": lambda s, d: P.curves(_geometry(s, d), ["cohort", "engine"], "signal_0_end", ["effective_dim", "total_variance"]),
     "trajectory_library": _fleet,
-} | {f"engines_{k}": _engines(v) for k, v in ENGINE_SETS.items()}
+} | {f"engines_{k}": _engines(v) for k, v in ENGINE_SETS.items()} | Q.QUERIES
 
 _Z = f"SELECT o.*, (value - mean) / nullif(std, 0) AS zscore FROM ({T.EVENTS}) o JOIN ({_SUM}) USING (cohort, signal_id)"
 ORACLE = {
@@ -275,7 +244,6 @@ ORACLE = {
     "gradient": _GRAD,
     "tail": f"SELECT cohort, signal_id, signal_0, round(value, 8) AS value FROM (SELECT *, row_number() OVER (PARTITION BY cohort, signal_id ORDER BY signal_0 DESC) AS r FROM ({T.EVENTS})) WHERE r <= 32",
     "cohort_centroid": _centroid_sql(),
-    "signal_pairwise": _PAIRS,
     "cohort_baseline": f"SELECT cohort, signal_id, round(base_mean, 8) AS base_mean, round(base_std, 8) AS base_std, base_n FROM ({_BASE.format(obs=T.EVENTS)})",
     "observation_geometry": f"SELECT cohort, signal_0, count(z) AS n_signals, round(sqrt(sum(z * z)), 8) AS distance, round(sqrt(sum(z * z) / nullif(count(z), 0)), 8) AS distance_norm, round(max(abs(z)), 8) AS max_z FROM ({_ZB}) GROUP BY cohort, signal_0",
-}
+} | Q.oracle(_LFEATURES, _FEATURES)

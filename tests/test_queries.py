@@ -2,6 +2,7 @@
 
 import os
 
+import pandas
 import pytest
 
 import __spark_entry__
@@ -23,7 +24,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "null" if v is None or v != v else f"{v:.7g}" if isinstance(v, float) else str(v)
+    text = lambda v: "null" if pandas.isna(v) else f"{v:.7g}" if isinstance(v, float) else str(v)
     return list(frame.columns), sorted(tuple(text(v) for v in r) for r in frame.itertuples(index=False))
 
 
