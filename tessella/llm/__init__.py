@@ -26,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality.ORACLE,
         "op5_decontaminate": decontam.ORACLE,
         "op8_jaccard_join": jaccard_join.ORACLE,
+        "op9_sharding": sharding.ORACLE,
     }

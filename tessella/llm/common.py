@@ -23,8 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + "/tessella"
+    """The folder that the cluster shares; a local one only where none is named and all runs on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+    return (named or "file:///tmp/checkpoints").rstrip("/") + "/tessella"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,7 +42,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: a cut of the lineage that outlives any executor."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(saved: DataFrame) -> None:
+    """Remove what save() has written, once nothing reads it any more."""
+    drop(saved.sparkSession, saved.scratch)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -72,5 +82,8 @@ def words_of(text: Column) -> Column:
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether df, counted, is under the size that may be broadcast."""
-    return df.limit(limit // row_bytes + 1).count() * row_bytes <= limit
+    """Whether df is under the size that may be broadcast: so many bytes a row, and the strings as they are, are summed."""
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    width = sum(strings, F.lit(row_bytes).cast("long"))
+    head = df.select(width.alias("w")).limit(limit // row_bytes + 1)
+    return (head.agg(F.sum("w")).first()[0] or 0) <= limit

@@ -78,3 +78,16 @@ def op9_sharding(spark, sf_dir: str) -> DataFrame:
     """Every document's shard and slot under the law `rows`."""
     out = interleave(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+#: The table of the CRC-32 polynomial, made bit by bit, and the checksum of a row's bytes (column h: hex digits) by it.
+_CRC = """t(i, k, c) AS (SELECT i, 0, i::UBIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS l FROM t WHERE k = 8)"""
+_SUM = "xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || x)::UBIGINT FOR x IN regexp_extract_all(h, '..')]), lambda a, b: xor(a // 256, tab.l[(xor(a % 256, b) + 1)::INT])), 4294967295::UBIGINT)::BIGINT"
+ORACLE = f"""
+WITH RECURSIVE {_CRC},
+r AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, {_SUM} AS text_crc32, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS shuffle FROM (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents), tab),
+k AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY shuffle, doc_id NULLS FIRST, text_crc32, size) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction FROM r),
+n AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, shuffle, doc_id NULLS FIRST, text_crc32, size) - 1 AS n, count(*) OVER () AS total FROM k),
+s AS (SELECT *, n * {SHARDS} // total AS shard FROM n)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard::INT AS shard, (n - (shard * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, source FROM s"""

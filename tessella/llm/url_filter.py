@@ -13,7 +13,7 @@ as many shards as keep all levels of a shard under LEVEL_BYTES; each shard has i
 
 Defined results: null or malformed urls have an empty host and path, which no rule fits and no list holds: allow. Equal
 urls are judged alike, row by row. An empty list allows all, a list without an unlisted key blocks all its hosts. Extra
-columns pass through unchanged; a clash with an added name is avoided by the prefix.
+columns pass through unchanged; where one has an added name, a prefix for these has to be given (else ValueError).
 """
 
 from __future__ import annotations
@@ -115,8 +115,12 @@ def universe_of(hosts: DataFrame, listed: DataFrame) -> DataFrame:
     return save(keys.join(hit, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("listed")), "universe")
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule, listed and verdict. listed: a table of hosts (column key), each of which stands for its subdomains too."""
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", prefix: str = "") -> DataFrame:
+    """pages with host, path, rule, listed and verdict, all under the prefix. listed: a table of hosts (column key), each of which stands for its subdomains too."""
+    added = [prefix + c for c in ("host", "path", "rule", "listed", "verdict")]
+    clash = sorted({c.lower() for c in pages.columns} & {c.lower() for c in added})
+    if clash:
+        raise ValueError(f"columns {', '.join(clash)} are there already: give a prefix")
     host, path = host_path(F.col(url_col))
     hosts = pages.select(F.coalesce(host, F.lit("")).alias("host"))
     universe = universe_of(hosts, listed)
@@ -124,14 +128,16 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     per_key = 1.44 * math.log2(max(2, size.n / max(size.l, 1))) + 8
     shards = max(1, math.ceil(size.l * per_key / 8 / LEVEL_BYTES))
     name, verdict = rule_of(F.coalesce(host, F.lit("")), F.coalesce(path, F.lit("")), rules)
-    judged = pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit("")), "rule": name, "__v": verdict})
-    out = None
-    for k in range(shards):
-        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)) == k
-        part, rows = (universe, judged) if shards == 1 else (universe.where(mine("key")), judged.where(mine("host")))
-        rows = rows.withColumn("listed", (F.col("host") != "") & cascade(part).has(F.col("host")))
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("verdict", F.coalesce("__v", F.when(F.col("listed"), "block").otherwise("allow"))).drop("__v")
+    judged = pages.withColumns({f"{prefix}host": F.coalesce(host, F.lit("")), f"{prefix}path": F.coalesce(path, F.lit("")), f"{prefix}rule": name})
+    key = F.col(f"{prefix}host")
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
+    held = F.lit(False)
+    for k in range(shards):  # the rows are read once: each shard's levels are scalars
+        part = universe if shards == 1 else save(universe.where(shard == k), "shard")
+        mine = cascade(part).has(key)
+        held = mine if shards == 1 else F.when(F.pmod(F.xxhash64(key), F.lit(shards)) == k, mine).otherwise(held)
+    judged = judged.withColumn(f"{prefix}listed", (key != "") & held)
+    return judged.withColumn(f"{prefix}verdict", F.coalesce(verdict, F.when(F.col(f"{prefix}listed"), "block").otherwise("allow")))
 
 
 #: Marks of junk in a page's title: a word that ends in three equal symbols.
