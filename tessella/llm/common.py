@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sides of at most so many bytes (measured, not guessed) may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Items of a block of scan(); code points of a part of chunks_of().
+SCAN, CHUNK = 256, 4096
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -72,6 +74,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(items: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """An array of kind that step(acc, item) grows: acc and its result are structs at (a place in the text) and out.
+
+    An array that grows by one copies itself each time; blocks of SCAN keep n items under n ** 1.5 copies or so.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def block(acc: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(items, k * SCAN + 1, F.lit(SCAN)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SCAN).cast("int"))
+    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.when(F.size(items) == 0, none).otherwise(F.aggregate(starts, zero, block, lambda acc: acc["out"]))
+
+
+def chunks_of(text: Column) -> Column:
+    """The text in parts of CHUNK code points, so that a place far inside is reached without a walk from the start."""
+    return F.when(F.octet_length(text) <= CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+
+
+def piece_of(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive, both inside the text) of the text that chunks_of() has cut; start <= end."""
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1), "")
+    return F.when(F.size(chunks) == 1, F.substring(F.get(chunks, F.lit(0)), start + 1, end - start)).otherwise(F.substring(held, start - first * CHUNK + 1, end - start))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters stay. The check first keeps all-lower texts cheap."""
     return F.translate(c, UPPER, LOWER)

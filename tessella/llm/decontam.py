@@ -36,9 +36,13 @@ def _runs(words: Column, of) -> Column:
     return F.when(n >= SIZE, every).when(n > 0, F.array(of(words)))
 
 
+def _hashes(words: Column) -> Column:
+    """Distinct 64-bit hashes of the words' shingles; null without words."""
+    return F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), lambda wh: _runs(wh, F.xxhash64)))
+
+
 def shingle_hashes(text: Column) -> Column:
-    """Distinct 64-bit hashes of a text's shingles; null without words."""
-    return F.array_distinct(let(F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w)), lambda wh: _runs(wh, F.xxhash64)))
+    return _hashes(words_of(F.lower(text)))
 
 
 def shingles(text: Column) -> Column:
@@ -63,15 +67,17 @@ def sketches(items: DataFrame, pct: int = PCT) -> DataFrame:
 def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pct: int = PCT) -> DataFrame:
     """doc, item, n_item, n_shared for each document row and item that it contains."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text")).distinct()
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("hashes", shingle_hashes(F.col("text")))
+    both = lambda ws: F.struct(_hashes(ws).alias("hashes"), F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" ")).alias("words"))
+    rows = docs.select(F.col(id_col).alias("doc"), let(words_of(F.lower(F.col(text_col))), both).alias("of")).select("doc", "of.hashes", "of.words")
 
     def search(block: DataFrame) -> DataFrame:
         sk = sketches(block, pct)
         keys = F.broadcast(sk.select("item", "sketch", F.explode("sketch").alias("h")))
-        hits = rows.select("doc", "text", "hashes", F.explode("hashes").alias("h")).join(keys, "h")
-        first = hits.where(F.array_min(F.array_intersect("hashes", "sketch")) == F.col("h")).select("doc", "text", "item")
+        hits = rows.select("doc", "words", "hashes", F.explode("hashes").alias("h")).join(keys, "h")
+        first = hits.where(F.array_min(F.array_intersect("hashes", "sketch")) == F.col("h")).select("doc", "words", "item")
         full = first.join(F.broadcast(sk.select(F.col("item").alias("of"), "shingles", "n_item")), F.col("item").eqNullSafe(F.col("of")))
-        shared = F.size(F.array_intersect("shingles", shingles(F.col("text")))).cast("long")
+        # word for word: a candidate shares a hash, so both have runs of SIZE words, or both are the same shorter run
+        shared = F.size(F.filter("shingles", lambda g: F.contains(F.col("words"), F.concat(F.lit(" "), g, F.lit(" "))))).cast("long")
         return full.select("doc", "item", "n_item", shared.alias("n_shared")).where(100 * F.col("n_shared") >= pct * F.col("n_item"))
 
     return reduce(DataFrame.unionByName, [search(b) for b in _blocks(items)])
