@@ -15,7 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sides of at most so many bytes (measured, not guessed) may be broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Items of a block of scan(); code points of a part of chunks_of().
-SCAN, CHUNK = 256, 4096
+SCAN, CHUNK_BITS = 256, 12
+CHUNK = 1 << CHUNK_BITS
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -97,9 +98,9 @@ def chunks_of(text: Column) -> Column:
 
 def piece_of(chunks: Column, start: Column, end: Column) -> Column:
     """Code points start to end (exclusive, both inside the text) of the text that chunks_of() has cut; start <= end."""
-    first = F.floor(start / CHUNK).cast("int")
-    held = F.array_join(F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1), "")
-    return F.when(F.size(chunks) == 1, F.substring(F.get(chunks, F.lit(0)), start + 1, end - start)).otherwise(F.substring(held, start - first * CHUNK + 1, end - start))
+    first = F.shiftright(start, CHUNK_BITS)
+    held = F.array_join(F.slice(chunks, first + 1, F.shiftright(end, CHUNK_BITS) - first + 1), "")
+    return F.substring(held, start - F.shiftleft(first, CHUNK_BITS) + 1, end - start)
 
 
 def ascii_lower(c: Column) -> Column:

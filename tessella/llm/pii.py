@@ -31,10 +31,11 @@ from .common import let
 KINDS = ["email", "ip", "card", "phone", "secret"]
 _E = "[A-Za-z0-9._%+-]"
 #: Base patterns. \G and the lookbehind only spare scans from the middle of a run, and possessive repeats only spare backtracking: the matches are those of the plain patterns.
+#: A card's {11,} leaves out runs with fewer than the 12 digits that its check asks for.
 BASE = {
     "email": rf"(?:\G|(?<!{_E})){_E}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -97,14 +98,13 @@ def matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as structs start, end, m; the texts between them give the places, in one pass."""
 
     def place(found: Column, between: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(between, i))
-            end = start + F.length(F.get(found, i))
-            one = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("m"))
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["before"])
+            end = start + F.length(x["m"])
+            one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
+        return let(F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(between, i).alias("before"))), lambda xs: common.scan(xs, "struct<start:int,end:int,m:string>", step))
 
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda between: place(found, between))))
@@ -114,24 +114,35 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _candidate(kind: str, base: bool, text: Column, x: Column) -> Column:
+def _candidate(kind: str, base: bool, chunks: Column, x: Column) -> Column:
     """A span with its votes and shape."""
     m, start, end = x["m"], x["start"], x["end"]
-    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    touches = F.rlike(before, F.lit("[A-Za-z0-9]$")) | F.rlike(F.substring(text, end + 1, F.lit(1)), F.lit("^[A-Za-z0-9]"))
     ok = strict(kind, m)
-    if kind == "secret":
-        listed = _vote(F.rlike(before, F.lit(CUES["secret"])), F.rlike(m, F.lit("^[A-Za-z]+$")))
-        cue = _vote(F.rlike(before, F.lit("""["'=]$""")), touches)
-    else:
-        known = F.rlike(m, F.lit(GAZETTEER[kind]))
-        listed = F.when(known, 1).when(F.lit(kind != "phone") | F.startswith(m, F.lit("+")), -1).otherwise(0)
-        cue = _vote(F.rlike(before, F.lit(CUES[kind])), touches)
     shape = F.when(F.rlike(m, F.lit("[^A-Za-z0-9]")), "parted").otherwise("solid")
-    return F.struct(
-        start.alias("start"), F.lit(KINDS.index(kind)).alias("k"), end.alias("end"), F.lit(base).alias("base"),
-        F.when(ok, 1).otherwise(-1).alias("regex"), listed.alias("gazetteer"), cue.alias("context"), shape.alias("shape"),
-    )
+
+    def judged(before: Column) -> Column:
+        touches = F.rlike(before, F.lit("[A-Za-z0-9]$")) | F.rlike(common.piece_of(chunks, end, end + 1), F.lit("^[A-Za-z0-9]"))
+        if kind == "secret":
+            listed = _vote(F.rlike(before, F.lit(CUES["secret"])), F.rlike(m, F.lit("^[A-Za-z]+$")))
+            cue = _vote(F.rlike(before, F.lit("""["'=]$""")), touches)
+        else:
+            known = F.rlike(m, F.lit(GAZETTEER[kind]))
+            listed = F.when(known, 1).when(F.lit(kind != "phone") | F.startswith(m, F.lit("+")), -1).otherwise(0)
+            cue = _vote(F.rlike(before, F.lit(CUES[kind])), touches)
+        return F.struct(
+            start.alias("start"), F.lit(KINDS.index(kind)).alias("k"), end.alias("end"), F.lit(base).alias("base"),
+            F.when(ok, 1).otherwise(-1).alias("regex"), listed.alias("gazetteer"), cue.alias("context"), shape.alias("shape"),
+        )
+
+    return let(F.greatest(start - CONTEXT, F.lit(0)), lambda first: let(common.piece_of(chunks, first, start), judged))
+
+
+def _without(spans: Column, held: Column) -> Column:
+    """The spans that overlap none of held (sorted, apart from one another); held is passed over by blocks."""
+    overlap = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / common.SCAN).cast("int")), lambda k: F.slice(held, k * common.SCAN + 1, common.SCAN))
+    inside = lambda b, y: (F.get(b, F.lit(0))["start"] < y["end"]) & (y["start"] < F.element_at(b, -1)["end"]) & F.exists(b, lambda x: overlap(x, y))
+    return F.when((F.size(held) == 0) | (F.size(spans) == 0), spans).otherwise(let(blocks, lambda bs: F.filter(spans, lambda y: ~F.exists(bs, lambda b: inside(b, y)))))
 
 
 def candidates(text: Column) -> Column:
@@ -141,16 +152,18 @@ def candidates(text: Column) -> Column:
     any_digit, any_at = F.rlike(text, F.lit("[0-9]")), F.contains(text, F.lit("@"))
     gate = {"email": any_at, "ip": any_digit, "card": any_digit, "phone": any_digit & F.contains(text, F.lit("+")), "secret": F.rlike(text, F.lit("[A-Za-z0-9+/_-]{32}"))}
     loose_gate = gate | {"email": F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")), "phone": any_digit}
+
+    def judged(kind: str, base: bool, found: Column) -> Column:
+        judge = lambda xs: let(common.chunks_of(text), lambda parts: F.transform(xs, lambda x: _candidate(kind, base, parts, x)))
+        return let(found, lambda xs: F.when(F.size(xs) == 0, none).otherwise(judge(xs)))
+
     out = []
     for kind in KINDS:
         base = none
         if kind in BASE:
-            valid = F.filter(matches(text, BASE[kind]), lambda x: strict(kind, x["m"]))
-            base = F.when(gate[kind], F.transform(valid, lambda x: _candidate(kind, True, text, x))).otherwise(none)
-        found = F.transform(matches(text, LOOSE[kind]), lambda x: _candidate(kind, False, text, x))
-        loose = F.when(loose_gate[kind], found).otherwise(none)
-        fresh = lambda b, ls: F.filter(ls, lambda y: ~F.exists(b, lambda x: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-        out.append(let(base, lambda b: F.concat(b, let(loose, lambda ls: F.when(F.size(ls) == 0, ls).otherwise(fresh(b, ls))))))
+            base = F.when(gate[kind], judged(kind, True, F.filter(matches(text, BASE[kind]), lambda x: strict(kind, x["m"])))).otherwise(none)
+        loose = lambda b: F.when(loose_gate[kind], judged(kind, False, let(matches(text, LOOSE[kind]), lambda xs: _without(xs, b)))).otherwise(none)
+        out.append(let(base, lambda b: F.concat(b, loose(b))))
     return F.concat(*out)
 
 
@@ -240,17 +253,17 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     model = fit(docs, text_col)
     text = F.col(text_col)
 
-    def cut(found: Column) -> Column:
+    def cut(found: Column, chunks: Column) -> Column:
         def step(acc: Column, s: Column) -> Column:
-            piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), _kind(s["k"]), F.lit("]"))
             inside = s["start"] < acc["at"]  # overlaps the span before: that one's mark stands for both
+            piece = F.concat(common.piece_of(chunks, acc["at"], s["start"]), F.lit("["), _kind(s["k"]), F.lit("]"))
             return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-        return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, zero, step, end))
+        size = F.length(text)
+        last = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.concat(F.array_join(common.scan(found, "string", step), ""), common.piece_of(chunks, last, size))
 
-    return docs.withColumn(text_col, let(spans(text, model), cut))
+    return docs.withColumn(text_col, let(spans(text, model), lambda found: F.when(F.size(found) == 0, text).otherwise(let(common.chunks_of(text), lambda chunks: cut(found, chunks)))))
 
 
 def op7_personal_data(spark, sf_dir: str) -> DataFrame:
