@@ -254,29 +254,47 @@ def phase_coherence(x, segments: int = 4):
 
 
 def hilbert_stability(x):
-    a = analytic(x - x.mean(1, keepdims=True))
-    amp, f = np.abs(a), np.diff(np.unwrap(np.angle(a), axis=1), axis=1) / (2 * np.pi)
-    fm, am = f.mean(1), amp.mean(1)
+    """Instantaneous frequency and amplitude of the analytic signal of the values as they are."""
+    a = analytic(x)
+    amp, turn = np.abs(a), np.diff(np.unwrap(np.angle(a), axis=1), axis=1)
+    f = turn / (2 * np.pi)
+    mean, sd, z = f.mean(1), f.std(1), moments(f)
+    steady, spread = np.abs(mean) > EPS, sd > EPS
     return {
-        "inst_freq_mean": fm, "inst_freq_std": f.std(1), "inst_freq_cv": _div(f.std(1), np.abs(fm)), "inst_freq_trend": line(f)[0], "inst_freq_range": np.ptp(f, axis=1),
-        "inst_amp_mean": am, "inst_amp_std": amp.std(1), "inst_amp_cv": _div(amp.std(1), am), "inst_amp_trend": line(amp)[0],
-        "phase_coherence": np.abs(np.exp(1j * np.angle(a)).mean(1)), "am_fm_ratio": _div(_div(amp.std(1), am), np.abs(_div(f.std(1), np.abs(fm)))),
+        "inst_freq_mean": mean, "inst_freq_std": sd, "inst_freq_stability": np.where(steady, np.clip(1 - sd / np.where(steady, np.abs(mean), 1), 0, 1), 0.0),
+        "inst_freq_kurtosis": np.where(spread, z["kurtosis"], 0.0), "inst_freq_skewness": np.where(spread, z["skewness"], 0.0), "inst_freq_range": np.ptp(f, axis=1), "inst_freq_drift": line(f)[0],
+        "inst_amp_cv": np.where(amp.mean(1) > EPS, _div(amp.std(1), amp.mean(1)), np.nan), "inst_amp_trend": line(amp)[0], "phase_coherence": np.cos(turn).mean(1), "am_fm_ratio": _div(amp.std(1), sd),
     }
 
 
 def wavelet_stability(x):
-    p = np.abs(np.fft.rfft(x - x.mean(1, keepdims=True), axis=1)[:, 1:]) ** 2
-    total = p.sum(1)
-    thirds = [_div(s.sum(1), total) for s in np.array_split(p, 3, axis=1)]
-    w = max(2, x.shape[1] // 8)
-    e = np.lib.stride_tricks.sliding_window_view((x - x.mean(1, keepdims=True)) ** 2, w, axis=1).mean(2)
-    q = np.stack(thirds, 1)
+    """Energy of three thirds of the spectrum (its mean included) and of short runs of the values."""
+    p = np.abs(np.fft.rfft(x, axis=1)) ** 2
+    n = p.shape[1]
+    parts = np.stack([p[:, i * n // 3 : (i + 1) * n // 3].sum(1) for i in range(3)], 1)
+    total = parts.sum(1)
+    share = parts / np.where(total < EPS, np.nan, total)[:, None]
+    run = np.lib.stride_tricks.sliding_window_view(x**2, max(x.shape[1] // 10, 2), axis=1).sum(2)
+    live = total >= EPS
+    known = lambda v: np.where(live, v, np.nan)
+    wide = run.std(1) > EPS
     return {
-        "energy_low": thirds[0], "energy_mid": thirds[1], "energy_high": thirds[2], "energy_ratio": _div(thirds[0], thirds[2]), "energy_entropy": -np.where(q > 0, q * np.log(np.where(q > 0, q, 1)), 0).sum(1),
-        "energy_concentration": q.max(1), "energy_mean": e.mean(1), "energy_std": e.std(1), "energy_cv": _div(e.std(1), e.mean(1)), "energy_trend": line(e)[0],
+        "wavelet_energy_low": share[:, 0], "wavelet_energy_mid": share[:, 1], "wavelet_energy_high": share[:, 2], "wavelet_energy_ratio": known(np.where(parts[:, 2] > EPS, parts[:, 0] / np.where(parts[:, 2] > EPS, parts[:, 2], 1), np.nan)),
+        "wavelet_entropy": -(share * np.log(np.where(share > 0, share, 1))).sum(1), "wavelet_concentration": share.max(1), "wavelet_dominant_scale": known(parts.argmax(1).astype(float)),
+        "wavelet_energy_drift": known(line(run)[0]), "wavelet_temporal_std": known(run.std(1)), "wavelet_intermittency": known(np.where(wide, ((run - run.mean(1, keepdims=True)) ** 4).mean(1) / np.where(wide, run.std(1), 1) ** 4 - 3, 0.0)),
     }
 
 
+def harmonic_ratio(row: np.ndarray, n: int = 5) -> float:
+    """Power of the strongest frequency and its multiples over the rest."""
+    _, p = psd(np.asarray(row, float)[None])
+    if p.shape[1] < 3:
+        return math.nan
+    held = sum(float(h[0]) for h in _harmonics(p, p[:, 1:].argmax(1) + 1, n))
+    rest = float(p.sum()) - held
+    return held / rest if rest > 0 else math.inf
+
+
 def _ols(a: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     b, *_ = np.linalg.lstsq(a, y, rcond=None)
     r = y - a @ b

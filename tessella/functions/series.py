@@ -20,55 +20,79 @@ def interpolate(y: np.ndarray) -> np.ndarray:
 # --- change points ---------------------------------------------------------------------------------------------------
 
 
+def noise_floor(y: np.ndarray, window: int = 50) -> np.ndarray:
+    """1.4826 times the median distance from the median of the window/2 rows before, the row and those after it (one fewer)."""
+    half, n = window // 2, len(y)
+    out = np.empty(n)
+    mad = lambda m: 1.4826 * np.median(np.abs(m - np.median(m, -1, keepdims=True)), -1)
+    if n >= 2 * half:
+        out[half : n - half + 1] = mad(np.lib.stride_tricks.sliding_window_view(y, 2 * half))
+    for i in [*range(min(half, n)), *range(max(half, n - half + 1), n)]:
+        out[i] = mad(y[max(0, i - half) : i + half])
+    return out
+
+
+def _shifts(y: np.ndarray, noise: np.ndarray, limit: float) -> list[tuple[int, float]]:
+    """Two-sided cumulative sums about a slowly moving mean (weight 0.05, drift 0.5), which starts anew after each alarm."""
+    found, mean, up, down = [], y[0], 0.0, 0.0
+    for i in range(1, len(y)):
+        e = (y[i] - mean) / noise[i]
+        up, down = max(0.0, up + e - 0.5), max(0.0, down - e - 0.5)
+        if max(up, down) > limit:
+            found.append((i, float(max(up, down))))
+            mean, up, down = y[i], 0.0, 0.0
+        else:
+            mean += 0.05 * (y[i] - mean)
+    return found
+
+
 def breaks(y: np.ndarray, sensitivity: float = 1.0, spacing: int = 10, context: int = 50) -> list[dict]:
-    """Steps and impulses: cumulative sums, jumps and spikes against a local noise floor, merged and described."""
+    """Steps and impulses: cumulative sums (4), jumps (5) and spikes (5) over a local noise floor, merged within the spacing and described.
+
+    Where the floor is zero, noise counts as one. magnitude and sharpness are in units of the floor. A series of under two contexts
+    and one spacing, or without a number, has none."""
     n = len(y)
-    if n < 2 * context + spacing:
+    if n < 2 * context + spacing or not np.isfinite(y).any():
         return []
     y = interpolate(y)
-    pad = np.pad(y, 25, mode="edge")
-    near = np.lib.stride_tricks.sliding_window_view(pad, 50)[:n]
-    noise = 1.4826 * np.median(np.abs(near - np.median(near, 1, keepdims=True)), 1)
-    floor = np.maximum(np.minimum(noise, 3 * np.median(noise)), max(1e-10, 0.01 * y.std()))  # a step inside the window is no noise
-    found: list[tuple[int, float]] = []
-    mean, up, down, sd = y[:context].mean(), 0.0, 0.0, max(float(np.median(floor)), 1e-10)
-    for i in range(n):
-        e = (y[i] - mean) / sd
-        up, down = max(0.0, up + e - 0.5), max(0.0, down - e - 0.5)
-        if max(up, down) > 4 / sensitivity * math.sqrt(context) / 2:
-            found.append((i, max(up, down)))
-            mean, up, down = float(np.median(y[i : i + 10])), 0.0, 0.0
-        else:
-            mean += 0.05 * (y[i] - mean)
-    jump = np.abs(np.diff(y)) / floor[1:]
-    found += [(int(i) + 1, float(jump[i])) for i in np.flatnonzero(jump > 5 / sensitivity)]
-    others = np.delete(near, 25, 1)
-    mid = np.median(others, 1)
-    mad = 1.4826 * np.median(np.abs(others - mid[:, None]), 1)
-    spike = np.abs(y - mid) / np.maximum(mad, floor)
-    found += [(int(i), float(spike[i])) for i in np.flatnonzero(spike > 5 / sensitivity)]
+    floor = noise_floor(y, context)
+    noise = np.where(floor > 1e-10, floor, 1.0)
+    jump = np.abs(np.diff(y)) / noise[1:]
+    found = _shifts(y, noise, 4 / sensitivity) + [(int(i) + 1, float(jump[i])) for i in np.flatnonzero(jump > 5 / sensitivity)]
+    if n > 50:
+        others = np.delete(np.lib.stride_tricks.sliding_window_view(y, 51), 25, 1)
+        mid = np.median(others, 1)
+        mad = 1.4826 * np.median(np.abs(others - mid[:, None]), 1)
+        spike = np.where(mad >= 1e-10, np.abs(y[25 : n - 25] - mid) / np.where(mad >= 1e-10, mad, 1), 0)
+        found += [(int(i) + 25, float(spike[i])) for i in np.flatnonzero(spike > 5 / sensitivity)]
     kept: list[tuple[int, float]] = []
-    for i, s in sorted(found):
+    for i, score in sorted(found):
         if kept and i - kept[-1][0] < spacing:
-            if s > kept[-1][1]:
-                kept[-1] = (i, s)
+            if score > kept[-1][1]:
+                kept[-1] = (i, score)
         else:
-            kept.append((i, s))
+            kept.append((i, score))
     out = []
     for i, score in kept:
-        pre, post = y[max(0, i - context) : i], y[i + 1 : i + 1 + context]
-        if not len(pre) or not len(post):
-            continue
-        a, b = float(np.median(pre)), float(np.median(post))
-        step = abs(b - a) > 3 * floor[i]
-        size = b - a if step else y[i] - a
-        calm = np.flatnonzero(np.abs(np.diff(y[i : i + 21])) < 2 * floor[i])
-        duration = int(calm[0]) + 1 if len(calm) else 20
-        if abs(size) > 3 * floor[i]:
-            out.append({"index": i, "kind": "step" if step else "impulse", "magnitude": size, "direction": int(np.sign(size)), "sharpness": abs(size) / duration, "duration": duration, "pre_level": a, "post_level": b, "snr": abs(size) / floor[i], "score": score})
+        pre, post = y[max(0, i - context) : i], y[i + 1 : i + context]
+        a, b = (float(np.median(part)) if len(part) else float(y[i]) for part in (pre, post))
+        level, peak = b - a, float(y[i] - (a + b) / 2)
+        impulse = abs(peak) > abs(level)
+        size = peak if impulse else level
+        duration = 1 if impulse or i + 2 >= n else _settles(y, i, noise[i])
+        direction = 0 if abs(size) < 1e-10 else int(np.sign(size))
+        units = float(size / noise[i])
+        out.append({"index": i, "kind": "impulse" if impulse else "step", "magnitude": units, "direction": direction, "sharpness": abs(units) / duration, "duration": duration, "pre_level": a, "post_level": b, "snr": abs(units), "score": score})
     return out
 
 
+def _settles(y: np.ndarray, i: int, noise: float, most: int = 20) -> int:
+    """Rows until a value comes within two noises of the level that follows."""
+    later = y[i + 5 : i + 50]
+    calm = np.flatnonzero(np.abs(y[i + 1 : i + most] - (np.median(later) if len(later) else y[i + 1])) < 2 * noise)
+    return int(calm[0]) + 1 if len(calm) else most
+
+
 # --- dynamics --------------------------------------------------------------------------------------------------------
 
 
@@ -219,7 +243,7 @@ def saddles(y: np.ndarray, least: int = 100, cap: int = 400) -> dict:
     """Where motion is slow and the local map both stretches and shrinks."""
     y = y[np.isfinite(y)][-cap:]
     if len(y) < least or y.std() < 1e-12:
-        return {"max_saddle_score": math.nan, "mean_saddle_score": math.nan, "n_saddles": 0, "basin_stability": math.nan}
+        return {"max_saddle_score": math.nan, "mean_saddle_score": math.nan, "last_saddle_score": math.nan, "n_saddles": 0, "basin_stability": math.nan}
     tau = k.optimal_delay(y)
     e = k.embed((y - y.mean()) / y.std(), 3, tau)
     speed = np.linalg.norm(np.diff(e, axis=0), axis=1)
@@ -229,7 +253,7 @@ def saddles(y: np.ndarray, least: int = 100, cap: int = 400) -> dict:
         mixed = min((m > 1).sum(), (m < 1).sum()) / (len(m) / 2)
         score.append(min(1.0, mixed) / (1 + s))
     s = np.array(score)
-    return {"max_saddle_score": s.max(), "mean_saddle_score": s.mean(), "n_saddles": int(((s > 0.5) & (speed < np.quantile(speed, 0.1))).sum()), "basin_stability": 1 - s[-20:].mean()}
+    return {"max_saddle_score": s.max(), "mean_saddle_score": s.mean(), "last_saddle_score": s[-1], "n_saddles": int(((s > 0.5) & (speed < np.quantile(speed, 0.1))).sum()), "basin_stability": 1 - s[-20:].mean()}
 
 
 def sensitivity(m: np.ndarray, horizon: int = 10, neighbours: int = 10) -> np.ndarray:

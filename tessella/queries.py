@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import geometry_queries as Q
+from . import state_queries as V
 from .operators import geometry as G
 from .operators import grouped as P
 from .operators import statistics as S
@@ -221,7 +222,7 @@ QUERIES = {
     "information_flow": _flow,
     "information_flow_delta": _flow_delta,
     "trajectory_library": _fleet,
-} | {f"engines_{k}": _engines(v) for k, v in ENGINE_SETS.items()} | Q.QUERIES
+} | {f"engines_{k}": _engines(v) for k, v in ENGINE_SETS.items()} | Q.QUERIES | V.QUERIES
 
 _Z = f"SELECT o.*, (value - mean) / nullif(std, 0) AS zscore FROM ({T.EVENTS}) o JOIN ({_SUM}) USING (cohort, signal_id)"
 ORACLE = {
@@ -247,3 +248,4 @@ ORACLE = {
     "cohort_baseline": f"SELECT cohort, signal_id, round(base_mean, 8) AS base_mean, round(base_std, 8) AS base_std, base_n FROM ({_BASE.format(obs=T.EVENTS)})",
     "observation_geometry": f"SELECT cohort, signal_0, count(z) AS n_signals, round(sqrt(sum(z * z)), 8) AS distance, round(sqrt(sum(z * z) / nullif(count(z), 0)), 8) AS distance_norm, round(max(abs(z)), 8) AS max_z FROM ({_ZB}) GROUP BY cohort, signal_0",
 } | Q.oracle(_LFEATURES, _FEATURES)
+ORACLE |= V.oracle(_LFEATURES, _FEATURES, ORACLE)

@@ -100,3 +100,14 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDERS = "SELECT o_orderpriority AS cohort, o_orderstatus AS signal_id, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderdate, o_orderkey)::DOUBLE AS signal_0, o_totalprice AS value FROM orders"
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two aligned signals for each brand, in order of the part's key."""
+    p = _read(spark, sf_dir, "part")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("signal_id"), F.col(f"p_{n}").cast("double").alias("value")) for n in ("retailprice", "size")]))
+    return p.select(F.col("p_brand").alias("cohort"), F.col("p_partkey").cast("double").alias("signal_0"), pairs.alias("x")).select("cohort", "x.signal_id", "signal_0", "x.value")
+
+
+#: The same rows, signals side by side: a and b.
+PARTS_WIDE = "SELECT p_brand AS cohort, p_partkey::DOUBLE AS signal_0, p_retailprice::DOUBLE AS a, p_size::DOUBLE AS b FROM part"
