@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import fleet, geometry, grouped, windows
+from ..operators import axes, field, fleet, geometry, grouped, state, windows
 from ..sources.tables import Catalog, load_observations
 from . import config
 
@@ -42,6 +42,15 @@ def _stages(obs: DataFrame, manifest: dict) -> dict[str, tuple[list[str], Callab
         "cohort_baseline": ([], lambda: geometry.baseline(obs)),
         "observation_geometry": (["cohort_baseline"], lambda b: geometry.observation_scores(obs, b)),
         "fingerprint": ([], lambda: grouped.fingerprint(obs)),
+        "sensor_eigendecomp": ([], lambda: state.sensor_eigen(obs)),
+        "signal_stability": ([], lambda: state.signal_stability(obs)),
+        "segment_comparison": ([], lambda: state.segment_comparison(obs, config.segments(manifest))),
+        "baseline_spectrum": ([], lambda: state.baseline_spectrum(obs)),
+        "baseline_scores": (["baseline_spectrum"], lambda b: state.baseline_scores(obs, b)),
+        "ftle_field": (["cohort_geometry"], field.ftle_field),
+        "trajectory_signatures": (["cohort_geometry", "geometry_dynamics", "velocity_field"], axes.signatures),
+        "axis_features": (["trajectory_signatures"], lambda t: axes.axis_features(t, "time")),
+        "subwindow_features": (["cohort_geometry"], lambda g: axes.subwindow_features(g, "time")),
         "system_vector": (["cohort_geometry"], geometry.wide),
         "system_geometry": (["system_vector"], lambda v: fleet.system_geometry(v, _VECTOR)),
         "cohort_pairwise": (["system_vector"], lambda v: fleet.cohort_pairwise(v, _VECTOR)),

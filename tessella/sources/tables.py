@@ -77,13 +77,25 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS = "SELECT event_type AS cohort, 'u' || (user_id % 4)::VARCHAR AS signal_id, event_id::DOUBLE AS signal_0, value FROM events"
 
 
+def numbered(df: DataFrame, keys: list[str], bucket: str, order: list[str], name: str = "n") -> DataFrame:
+    """df with each row's place, from 1, in its group's order, which the bucket leads and the columns of order complete.
+
+    Rows are numbered within (group, bucket), and the rows of the buckets before are added from a table of counts: a group that holds
+    a third of all rows is sorted in as many parts as it has buckets, not in one task."""
+    held = [*keys, bucket]
+    counts = df.groupBy(*held).agg(F.count(F.lit(1)).alias("__size"))
+    earlier = F.sum("__size").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))  # a row for each bucket
+    counts = counts.select(*[F.col(c).alias(f"__{c}") for c in held], F.coalesce(earlier, F.lit(0)).alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in held]
+    placed = df.withColumn("__place", F.row_number().over(Window.partitionBy(*held).orderBy(*order)))
+    return placed.join(counts, same).withColumn(name, (F.col("__before") + F.col("__place")).cast("double")).drop("__place", "__before", *[f"__{c}" for c in held])
+
+
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four aligned signals for each (return flag, line status): rows numbered in a total order that ship date leads."""
-    li = _read(spark, sf_dir, "lineitem")
-    cohort = F.concat("l_returnflag", "l_linestatus")
-    n = F.row_number().over(Window.partitionBy(cohort).orderBy(*TOTAL)).cast("double")
+    li = _read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("cohort"), *TOTAL)
     pairs = ", ".join(f"'{s}', l_{s}" for s in SIGNALS)
-    return li.select(cohort.alias("cohort"), n.alias("signal_0"), *[f"l_{s}" for s in SIGNALS]).selectExpr("cohort", "signal_0", f"stack({len(SIGNALS)}, {pairs}) AS (signal_id, value)").select("cohort", "signal_id", "signal_0", "value")
+    return numbered(li, ["cohort"], TOTAL[0], TOTAL[1:], "signal_0").selectExpr("cohort", "signal_0", f"stack({len(SIGNALS)}, {pairs}) AS (signal_id, value)").select("cohort", "signal_id", "signal_0", "value")
 
 
 #: A total order: order and line numbers repeat.
@@ -94,9 +106,9 @@ LINEITEM = " UNION ALL ".join(f"SELECT cohort, '{s}' AS signal_id, signal_0, l_{
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _read(spark, sf_dir, "orders")
-    n = F.row_number().over(Window.partitionBy("o_orderpriority", "o_orderstatus").orderBy("o_orderdate", "o_orderkey")).cast("double")
-    return o.select(F.col("o_orderpriority").alias("cohort"), F.col("o_orderstatus").alias("signal_id"), n.alias("signal_0"), F.col("o_totalprice").alias("value"))
+    o = _read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", "o_orderdate", "o_orderkey", "o_totalprice")
+    n = numbered(o, ["o_orderpriority", "o_orderstatus"], "o_orderdate", ["o_orderkey"], "signal_0")
+    return n.select(F.col("o_orderpriority").alias("cohort"), F.col("o_orderstatus").alias("signal_id"), "signal_0", F.col("o_totalprice").alias("value"))
 
 
 ORDERS = "SELECT o_orderpriority AS cohort, o_orderstatus AS signal_id, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderdate, o_orderkey)::DOUBLE AS signal_0, o_totalprice AS value FROM orders"

@@ -58,6 +58,19 @@ def test_stability_kernels():
     assert k.harmonic_ratio(np.sin(2 * np.pi * np.arange(64) / 8)) > 1e6 and math.isnan(k.harmonic_ratio([1.0, 2.0]))
 
 
+def test_numbers_by_buckets(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tessella.sources import tables
+
+    rows = [("a", None if i % 7 == 0 else i % 3, i * 37 % 50, i) for i in range(50)] + [(None, 1, 1, 99), ("b", None, 0, 100)]
+    df = spark.createDataFrame(rows, "g string, day int, t int, id int")
+    got = {r.id: r.n for r in tables.numbered(df, ["g"], "day", ["t", "id"]).collect()}
+    want = {r.id: r.n for r in df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("day", "t", "id"))).collect()}
+    assert got == want and len(got) == 52 and tables.numbered(df.limit(0), ["g"], "day", ["t"]).count() == 0
+
+
 def test_gaps(spark):
     rows = [("c", "a", 0.0, None), ("c", "a", 1.0, 2.0), ("c", "a", 1.0, 5.0), ("c", "b", 2.0, 7.0), ("c", "a", 10.0, 8.0), ("c", "a", 11.0, NAN), ("c", "none", 0.0, None), ("d", "a", 0.0, 1.0)]
     got = {(r.cohort, r.signal_id, r.signal_0): r.value for r in state.gridded(obs(spark, rows)).collect()}
