@@ -23,6 +23,18 @@ VIEWED = ["rms", "rate_std"]
 DIGITS = 7
 
 
+#: Means of few rounded numbers end in a five where they are cut; moved a little, they fall to one side on both engines.
+NUDGE = 3.3e-10
+
+
+def _nudged(df: DataFrame) -> DataFrame:
+    return rounded(df.select(*[(F.col(c) + NUDGE).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]), DIGITS)
+
+
+def _n(c: str) -> str:
+    return _r(f"(({c}) + {NUDGE})", DIGITS)
+
+
 def _typology(s, d) -> DataFrame:
     return T.parts(s, d).groupBy("signal_id").agg((F.stddev_pop("value") < 1e-10).alias("is_constant"))
 
@@ -67,9 +79,9 @@ QUERIES = {
     "baseline_scores": lambda s, d: rounded(S.baseline_scores(T.parts(s, d), S.baseline_spectrum(T.parts(s, d)))),
     "state_vector": _views,
     "trajectory_signatures": lambda s, d: _signature(s, d, "change"),
-    "axis_features": lambda s, d: rounded(A.axis_features(_signature(s, d, "change"), "time"), DIGITS),
-    "subwindow_features": lambda s, d: rounded(A.subwindow_features(_geometry(s, d), "time"), DIGITS),
-    "cross_axis_features": lambda s, d: rounded(_cross(s, d), DIGITS),
+    "axis_features": lambda s, d: _nudged(A.axis_features(_signature(s, d, "change"), "time")),
+    "subwindow_features": lambda s, d: _nudged(A.subwindow_features(_geometry(s, d), "time")),
+    "cross_axis_features": lambda s, d: _nudged(_cross(s, d)),
     "rolling_lyapunov": lambda s, d: R.rolling_lyapunov(T.orders(s, d)),
     "rolling_saddles": lambda s, d: R.rolling_saddles(T.orders(s, d)),
     "rolling_sensitivity": lambda s, d: R.rolling_sensitivity(T.parts(s, d), 40, 10, 5),
@@ -217,9 +229,9 @@ def _placed(df: str) -> str:
     return f"SELECT *, n // 3 AS third FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY signal_0_end) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n FROM ({df}))"
 
 
-def _axis(signature: str, axis: str, digits: int | None = DIGITS) -> str:
+def _axis(signature: str, axis: str, told: bool = True) -> str:
     df = f"SELECT *, CASE WHEN whole > 0 THEN arc_length / whole WHEN n > 1 THEN i / (n - 1) ELSE 0 END AS pos FROM (SELECT *, max(arc_length) OVER (PARTITION BY cohort) AS whole FROM ({_placed(signature)}))"
-    whole = lambda c, v: v if c == "n_windows" or digits is None else _r(f"({v})", digits)
+    whole = lambda c, v: v if c == "n_windows" or not told else _n(v)
     return f"SELECT cohort, {', '.join(f'{whole(c, v)} AS {axis}_{c}' for c, v in _axis_sql(signature).items())} FROM ({df}) GROUP BY cohort"
 
 
@@ -233,18 +245,18 @@ def _subwindows(told: dict[str, str]) -> str:
         early, late = _early_late(c)
         out |= {f"{c}_{n}": f"CASE WHEN max(n) >= 4 THEN {v} END" for n, v in (("early", early), ("late", late), ("delta", f"{late} - {early}"))}
     out |= {f"{c}_slope": f"CASE WHEN max(n) >= 4 AND count({c}) >= 3 THEN regr_slope({c}, i) END" for c in ("eff_dim_min", "eff_dim_spread")}
-    return f"SELECT cohort, sum(degenerate)::BIGINT AS time_sw_n_degenerate, {', '.join(f'{_r(f'({v})', DIGITS)} AS time_sw_{c}' for c, v in out.items())} FROM ({_placed(w)}) GROUP BY cohort"
+    return f"SELECT cohort, sum(degenerate)::BIGINT AS time_sw_n_degenerate, {', '.join(f'{_n(v)} AS time_sw_{c}' for c, v in out.items())} FROM ({_placed(w)}) GROUP BY cohort"
 
 
 def _cross_sql(told: dict[str, str]) -> str:
-    j = f"SELECT * FROM ({_axis(_signature_sql(told, 'shape'), 'shape', None)}) FULL JOIN ({_axis(_signature_sql(told, 'change'), 'change', None)}) USING (cohort)"
+    j = f"SELECT * FROM ({_axis(_signature_sql(told, 'shape'), 'shape', False)}) FULL JOIN ({_axis(_signature_sql(told, 'change'), 'change', False)}) USING (cohort)"
     pick = lambda c: f"[x for x in [shape_{c}, change_{c}] if x IS NOT NULL]"
     df = f"SELECT cohort, {pick('effective_dim_delta')} AS d, {pick('condition_number_late')} AS c, {pick('effective_dim_late')} AS e FROM ({j})"
     down = "len([x for x in d if x < -0.15])"
     out = {"min_dim_delta": "list_min(d)", "max_dim_delta": "list_max(d)", "mean_dim_delta": "list_avg(d)", "dim_delta_spread": "list_max(d) - list_min(d)"}
     for c, n, end in (("c", "cond_late", "max"), ("e", "dim_late", "min")):
         out |= {f"{n}_{k}": f"CASE WHEN len({c}) >= 2 THEN {v} END" for k, v in (("mean", f"list_avg({c})"), (end, f"list_{end}({c})"), ("std", f"list_stddev_pop({c})"))}
-    return f"SELECT cohort, {down} AS cross_n_axes_collapsing, ({down} > 0)::INT AS cross_collapse_on_any, ({down} = 2)::INT AS cross_collapse_on_all, {', '.join(f'{_r(f'({v})', DIGITS)} AS cross_{c}' for c, v in out.items())} FROM ({df})"
+    return f"SELECT cohort, {down} AS cross_n_axes_collapsing, ({down} > 0)::INT AS cross_collapse_on_any, ({down} = 2)::INT AS cross_collapse_on_all, {', '.join(f'{_n(v)} AS cross_{c}' for c, v in out.items())} FROM ({df})"
 
 
 def oracle(features: str, events: str, told: dict[str, str]) -> dict[str, str]:
