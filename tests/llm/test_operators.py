@@ -155,6 +155,17 @@ def test_near_substring_after_a_partial_quote(spark):
     assert (2, 1) in got
 
 
+def test_near_substring_between_partial_quotes(spark):
+    r = np.random.default_rng(6)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    p = new(64)
+    q = p[:31] + ["other"] + p[32:]
+    quotes = lambda: [new(40) + p[a : a + 45] + new(40) for a in (0, 6, 12, 18, 19)]  # noqa: E731  too short for a passage, but each paragraph of p is in one
+    texts = [" ".join(t) for t in (*quotes(), new(40) + p + new(40), *quotes(), new(40) + q + new(40))]
+    got = {(x.id, x.of) for x in substring_dedup.repeated_passages(docs(spark, texts)).collect()}
+    assert got == {(11, 5)}
+
+
 def test_passage_with_a_run_that_the_first_text_repeats():
     r = np.random.default_rng(7)
     one, two = r.integers(1, 2**60, 200).astype(np.uint64), r.integers(1, 2**60, 140).astype(np.uint64)
