@@ -356,6 +356,14 @@ def granger(x, y, lag: int = 5) -> tuple[float, float]:
     return f, f_tail(f, lag, rest)
 
 
+def granger_of(r: np.ndarray, n: int, lag: int) -> tuple[float, float]:
+    """granger() of n rows from the triangle of their regression: columns one, own past, the other's past, target."""
+    r0, r1 = (k._ols(r[:, :c], r[:, -1])[1] for c in (lag + 1, 2 * lag + 1))
+    rest = n - 3 * lag - 1
+    f = max(0.0, (r0 - r1) / lag / max(r1 / rest, 1e-300))
+    return f, f_tail(f, lag, rest)
+
+
 def cointegration(x, y) -> dict:
     """Engle-Granger: Dickey-Fuller of the regression's residuals against fixed critical values; half life and spread."""
     if x.std() < 1e-12 or y.std() < 1e-12:

@@ -228,6 +228,76 @@ def information_flow(obs: DataFrame, pairs: DataFrame | None = None, least: int
     return spread.mapInPandas(run, "cohort string, signal_a string, signal_b string, " + _PAIR)
 
 
+#: Rows of a part of a series, and parts that are stacked at a time.
+PART, STACK = 8192, 512
+_GRANGER = "granger_f_ab double, granger_p_ab double, granger_f_ba double, granger_p_ba double"
+_TRIANGLE = "n long, mean_a double, m2_a double, mean_b double, m2_b double, ab array<double>, ba array<double>"
+
+
+def _backwards(obs: DataFrame, lag: int) -> DataFrame:
+    """cohort, part, signal_id, start, v: the numbers of each series, the newest first, by parts of PART places and the lag older ones.
+
+    Rows are packed by ranges of the coordinate; the packs' sizes, a row for each, say at which place a pack starts."""
+    ok = obs.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    pack = F.sort_array(F.collect_list(F.struct(F.negate("signal_0").alias("t"), "value")))
+    packed = ok.groupBy(*SERIES, F.floor(F.col("signal_0") / PART).alias("range")).agg(pack.alias("xs")).select(*SERIES, "range", F.col("xs.value").alias("v"))
+    newer = Window.partitionBy(*SERIES).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = packed.select(*SERIES, "range", F.size("v").cast("long").alias("m"))
+    sizes = sizes.withColumn("at", F.coalesce(F.sum("m").over(newer), F.lit(0).cast("long")))
+    placed = packed.join(sizes, [*SERIES, "range"])
+    first, last = F.greatest(F.floor((F.col("at") - lag) / PART), F.lit(0)), F.floor((F.col("at") + F.col("m") - 1) / PART)
+    cut = placed.withColumn("part", F.explode(F.sequence(first, last)))
+    low, high = F.greatest(F.col("part") * PART, F.col("at")), F.least((F.col("part") + 1) * PART + lag, F.col("at") + F.col("m"))
+    cut = cut.withColumns({"start": low, "k": high - low})
+    return cut.select("cohort", "part", "signal_id", "start", F.slice("v", (F.col("start") - F.col("at") + 1).cast("int"), F.col("k").cast("int")).alias("v"))
+
+
+def granger_links(obs: DataFrame, least: int = 100, lag: int = 5) -> DataFrame:
+    """The Granger measures of information_flow, of whole series of any length: cohort, signal_a, signal_b and four numbers.
+
+    Series are paired by place from their newest number. Each part of a pair is reduced to the triangle (QR) of its regressions;
+    triangles stacked and reduced again have the sums of squares of the whole, so no task holds a series."""
+    width, keys = 2 * lag + 2, ["cohort", "signal_a", "signal_b"]
+    names = [c.split()[0] for c in _TRIANGLE.split(", ")]
+    key_schema = ", ".join(f"{k} string" for k in keys)
+
+    def triangles(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        xs = {name: np.concatenate(list(g.sort_values("start")["v"]))[::-1].astype(float) for name, g in pdf.groupby("signal_id")}
+        out, signals = [], sorted(xs)
+        for i, a in enumerate(signals):
+            for b in signals[i + 1 :]:
+                n = min(len(xs[a]), len(xs[b]))
+                x, y = xs[a][-n:], xs[b][-n:]
+                r = []
+                for u, v in ((x, y), (y, x)):  # the target's own past, then the other's, then the target
+                    past = [c[lag - j : n - j] for c in (v, u) for j in range(1, lag + 1)]
+                    r.append(np.linalg.qr(np.column_stack([np.ones(n - lag), *past, v[lag:]]), "r").ravel() if n > lag else np.zeros(0))
+                x, y = x[-PART:], y[-PART:]
+                out.append((key[0], a, b, key[1] // STACK, len(x), x.mean(), ((x - x.mean()) ** 2).sum(), y.mean(), ((y - y.mean()) ** 2).sum(), *r))
+        return pd.DataFrame(out, columns=[*keys, "stack", *names])
+
+    def whole(pdf: pd.DataFrame) -> list:
+        """Sizes, means and squares about the mean of all parts, and the triangle of each way."""
+        n, out = pdf["n"].sum(), []
+        for s_ in "ab":
+            mean = (pdf["n"] * pdf[f"mean_{s_}"]).sum() / n
+            out += [mean, (pdf[f"m2_{s_}"] + pdf["n"] * (pdf[f"mean_{s_}"] - mean) ** 2).sum()]
+        return [n, *out, *[np.linalg.qr(np.concatenate([np.zeros((1, width)), *[np.reshape(r, (-1, width)) for r in pdf[way]]]), "r") for way in ("ab", "ba")]]
+
+    def stacked(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        *told, ab, ba = whole(pdf)
+        return pd.DataFrame([(*key[:3], *told, ab.ravel(), ba.ravel())], columns=[*keys, *names])
+
+    def solved(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, _, qa, _, qb, *both = whole(pdf)
+        out = [s.granger_of(r, n, lag) if n >= 25 and min(qa, qb) >= n * 1e-24 else (np.nan, np.nan) for r in both]
+        return pd.DataFrame([(*key, *out[0], *out[1])] if n >= least else [], columns=[*keys, *[c.split()[0] for c in _GRANGER.split(", ")]])
+
+    made = _backwards(obs, lag).groupBy("cohort", "part").applyInPandas(triangles, f"{key_schema}, stack long, {_TRIANGLE}")
+    some = made.groupBy(*keys, "stack").applyInPandas(stacked, f"{key_schema}, {_TRIANGLE}")
+    return some.groupBy(*keys).applyInPandas(solved, f"{key_schema}, {_GRANGER}")
+
+
 def flow_delta(before: DataFrame, after: DataFrame, p: float = 0.05) -> DataFrame:
     """How each directed link (Granger) changed between two segments."""
     keys = ["cohort", "signal_a", "signal_b"]

@@ -170,7 +170,7 @@ def _flow(spark, d):
 
 def _flow_delta(spark, d):
     o = T.lineitem(spark, d)
-    return P.flow_delta(*(P.information_flow(o.where(c), cap=None) for c in ("signal_0 <= 400", "signal_0 > 400")))
+    return P.flow_delta(*(P.granger_links(o.where(c)) for c in ("signal_0 <= 400", "signal_0 > 400")))
 
 
 def _ridge(spark, d):

@@ -66,6 +66,25 @@ def test_information_flow_takes_whole_series(spark):
     assert [r.f_b for r in got] == pytest.approx([series.granger(x, y)[0]])
 
 
+def test_granger_links_by_parts(spark, monkeypatch):
+    import numpy as np
+    from tessella.functions import series
+    from tessella.operators import grouped
+
+    monkeypatch.setattr(grouped, "PART", 64)
+    monkeypatch.setattr(grouped, "STACK", 2)
+    r = np.random.default_rng(3)
+    x, y = r.normal(50, 9, 1000), r.normal(size=777)
+    y[1:] += x[-776:] / 20
+    x[40], flat = np.nan, np.ones(300)
+    rows = [("c", name, float(3 * i), float(v)) for name, s in (("x", x), ("y", y), ("z", flat), ("few", y[:60])) for i, v in enumerate(s)]
+    got = {(g.signal_a, g.signal_b): g for g in grouped.granger_links(spark.createDataFrame(rows, "cohort string, signal_id string, signal_0 double, value double")).collect()}
+    assert set(got) == {("x", "y"), ("x", "z"), ("y", "z")} and got["x", "z"].granger_f_ab is None
+    a = x[np.isfinite(x)][-777:]
+    g = got["x", "y"]
+    assert [g.granger_f_ab, g.granger_p_ab, g.granger_f_ba, g.granger_p_ba] == pytest.approx([*series.granger(a, y), *series.granger(y, a)], rel=1e-7)
+
+
 def test_homology_walks_all_windows(spark):
     from tessella.operators import grouped
 
