@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -353,10 +354,12 @@ def trajectory_views(windows: DataFrame, features: list[str], last: int = 32) ->
 def state_vector(windows: DataFrame, groups: dict[str, list[str]], last: int = 32) -> DataFrame:
     """By window: spread of the signals about their centroid, each group's centroid, and the views of their trajectories.
 
-    Groups of under two features have no centroid."""
+    Groups of under two features have no centroid. The windows are read five times here and each reader would build them from all
+    rows anew, so the columns that count, a row for each window, are kept for the session."""
     from .geometry import centroid
 
     cols = sorted({c for g in groups.values() for c in g})
+    windows = windows.select(*SERIES, "signal_0_end", "signal_0_center", *cols).persist(StorageLevel.MEMORY_AND_DISK)
     whole = centroid(windows, cols).select(*AT, "n_signals", "mean_distance", "max_distance", "std_distance")
     for name, g in groups.items():
         if len(g) >= 2:

@@ -148,6 +148,18 @@ def test_views_and_weights(spark):
     assert len(both) == 1 and both[0].state_g_y == pytest.approx(39) and both[0].n_signals == 3
 
 
+def test_state_vector_builds_the_windows_once(spark):
+    df = windows(spark, [("c", n, 10.0 * i + 10, 10.0 * i + 5, float(i), float(i * i)) for n in "pq" for i in range(9)])
+    built = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            built.add(len(b))
+            yield b
+
+    assert state.state_vector(df.mapInPandas(seen, df.schema), {"g": ["x", "y"]}).count() == 9 and built.value == 18
+
+
 def test_rolling(spark):
     df = wave(spark, signals="a", n=50)
     got = {r.signal_0: r for r in rolling.rolling(df, "trend", 20, 10).collect()}
