@@ -12,6 +12,10 @@ from .curves import curve_features
 from .windows import SERIES, assigned, gradient, guarded, ordered, r_squared, tail
 
 
+#: Rows of a part of a series.
+PART = 8192
+
+
 def _series(obs: DataFrame, of, schema: str, keys: list[str] = SERIES) -> DataFrame:
     """of(values, coordinates) -> rows (dicts) for each series, in order of the coordinate."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -195,12 +199,92 @@ def sensitivities(obs: DataFrame, cap: int = 400) -> DataFrame:
     return _cohorts(tail(obs, cap), of, "signal_id string, sensitivity double, rank int")
 
 
+#: Windows of a part of a cohort.
+WINDOWS = 64
+_HOMOLOGY = "signal_0_end double, n_components int, n_loops int, max_persistence_h0 double, max_persistence_h1 double, persistence_entropy double"
+
+
+def _ranges(obs: DataFrame) -> DataFrame:
+    """cohort, range, t, names, v (the columns of _matrix in turn, gaps as they are), ends (first and last number of each, with their places), by ranges of the coordinate."""
+
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="signal_0", columns="signal_id", values="value", aggfunc="first").sort_index()
+        cols, ends = [wide[c].to_numpy(float) for c in wide], []
+        for v in cols:
+            at = np.flatnonzero(np.isfinite(v))
+            ends.append([float(at[0]), v[at[0]], float(at[-1]), v[at[-1]]] if len(at) else None)
+        row = (*key, wide.index.to_numpy(float), list(wide), np.concatenate([*cols, np.zeros(0)]), ends)
+        return pd.DataFrame([row] if len(wide) else [], columns=["cohort", "range", "t", "names", "v", "ends"])
+
+    dealt = obs.select("cohort", "signal_id", "signal_0", "value", F.floor(F.col("signal_0") / PART).alias("range"))
+    return dealt.groupBy("cohort", "range").applyInPandas(pack, "cohort string, range long, t array<double>, names array<string>, v array<double>, ends array<array<double>>")
+
+
+def _around(ranges: DataFrame) -> DataFrame:
+    """cohort, range, at (the place of the range's first row) and near: for each signal of the cohort the nearest number before and after the range, with its place."""
+    own = Window.partitionBy("cohort").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    at = ranges.select("cohort", "range", F.size("t").cast("long").alias("m")).withColumn("at", F.coalesce(F.sum("m").over(own), F.lit(0).cast("long"))).drop("m")
+    ends = ranges.select("cohort", "range", F.explode(F.arrays_zip("names", "ends")).alias("x")).select("cohort", "range", F.col("x.names").alias("signal_id"), F.col("x.ends").alias("e"))
+    grid = at.join(ends.select("cohort", "signal_id").distinct(), "cohort").join(ends, ["cohort", "range", "signal_id"], "left")
+    w = Window.partitionBy("cohort", "signal_id")
+    side = lambda i, order, to: F.last(F.when(F.col("e").isNotNull(), F.array(F.col("at") + F.get("e", F.lit(i)), F.get("e", F.lit(i + 1)))), ignorenulls=True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)).alias(to)
+    near = grid.select("cohort", "range", "at", "signal_id", side(2, F.col("range"), "before"), side(0, F.desc("range"), "after"))
+    return near.groupBy("cohort", "range", "at").agg(F.array_sort(F.collect_list(F.struct("signal_id", "before", "after"))).alias("near"))
+
+
+def _filled(r) -> np.ndarray:
+    """The range's rows, a column for each signal of the cohort, gaps filled as s.interpolate() does on the whole series."""
+    m, out = len(r.t), []
+    own = dict(zip(r.names, np.asarray(r.v, float).reshape(-1, m)))
+    for x in r.near:
+        v = own.get(x["signal_id"], np.full(m, np.nan))
+        at = np.flatnonzero(np.isfinite(v))
+        sides = [([], []) if e is None else ([e[0] - r.at], [e[1]]) for e in (x["before"], x["after"])]
+        places, numbers = np.concatenate([sides[0][0], at, sides[1][0]]), np.concatenate([sides[0][1], v[at], sides[1][1]])
+        out.append(np.interp(np.arange(m), places, numbers) if len(places) else np.zeros(m))
+    return np.column_stack(out)
+
+
 def homology(obs: DataFrame, window: int = 60, stride: int = 30) -> DataFrame:
-    def of(m, _, t):
-        z = (m - m.mean(0)) / np.maximum(m.std(0), 1e-12)
-        return [{"signal_0_end": t[e], **s.homology(z[e + 1 - window : e + 1])} for e in range(window - 1, len(z), stride)]
+    """Rips lifetimes of each window of a cohort's standardised signals. Parts of WINDOWS windows, not whole cohorts, are in a task."""
+    ranges, step = _ranges(obs), WINDOWS * stride
+    placed = ranges.join(_around(ranges), ["cohort", "range"]).select("cohort", "at", "t", "names", "v", "near")
+
+    def moments(batches):
+        for pdf in batches:
+            rows = [(r.cohort, len(x), x.mean(0), ((x - x.mean(0)) ** 2).sum(0)) for r in pdf.itertuples() for x in (_filled(r),)]
+            yield pd.DataFrame(rows, columns=["cohort", "m", "mean", "m2"])
+
+    def scale(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        m, mean = pdf["m"].to_numpy(float)[:, None], np.stack(list(pdf["mean"]))
+        middle = (m * mean).sum(0) / m.sum()
+        sd = np.sqrt((np.stack(list(pdf["m2"])) + m * (mean - middle) ** 2).sum(0) / m.sum())
+        return pd.DataFrame([(key[0], middle, np.maximum(sd, 1e-12))], columns=["cohort", "mean", "sd"])
+
+    def cut(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                x, t, at = _filled(r), np.asarray(r.t, float), int(r.at)
+                for part in range(max(0, (at - window) // step), (at + len(t) - 1) // step + 1):
+                    a, b = max(part * step - at, 0), min(part * step + step - stride + window - at, len(t))
+                    if a < b:
+                        out.append((r.cohort, part, at + a, t[a:b], x[a:b].ravel()))
+            yield pd.DataFrame(out, columns=["cohort", "part", "start", "t", "x"])
+
+    def of(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start")
+        mean, sd = (np.asarray(pdf[c].iloc[0], float) for c in ("mean", "sd"))
+        z, t = (np.concatenate(list(pdf["x"])).reshape(-1, len(mean)) - mean) / sd, np.concatenate(list(pdf["t"]))
+        with np.errstate(all="ignore"):
+            rows = [{"cohort": key[0], "signal_0_end": t[a + window - 1], **s.homology(z[a : a + window])} for a in range(0, len(z) - window + 1, stride)]
+        return pd.DataFrame(rows, columns=["cohort", *[c.split()[0] for c in _HOMOLOGY.split(", ")]])
 
-    return _cohorts(obs, of, "signal_0_end double, n_components int, n_loops int, max_persistence_h0 double, max_persistence_h1 double, persistence_entropy double")
+    scales = placed.mapInPandas(moments, "cohort string, m long, mean array<double>, m2 array<double>").groupBy("cohort").applyInPandas(scale, "cohort string, mean array<double>, sd array<double>")
+    parts = placed.mapInPandas(cut, "cohort string, part long, start long, t array<double>, x array<double>").join(F.broadcast(scales), "cohort")
+    # few bytes and much work: by number, so that small parts are not put together in few tasks
+    spread = parts.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cohort", "part")
+    return spread.groupBy("cohort", "part").applyInPandas(of, "cohort string, " + _HOMOLOGY)
 
 
 _PAIR = "n int, correlation double, max_xcorr double, lag_at_max int, xcorr_symmetry double, mutual_info double, normalized_mi double, transfer_entropy_ab double, transfer_entropy_ba double, granger_f_ab double, granger_p_ab double, granger_f_ba double, granger_p_ba double, coint_stat double, cointegrated boolean, half_life double, spread_z double, hedge_ratio double, copula string, copula_param double, copula_aic double, kendall_tau double, spearman_rho double, tail_lower double, tail_upper double, empirical_tail_lower double, empirical_tail_upper double, dtw double, kl_divergence double, js_divergence double"
@@ -228,8 +312,8 @@ def information_flow(obs: DataFrame, pairs: DataFrame | None = None, least: int
     return spread.mapInPandas(run, "cohort string, signal_a string, signal_b string, " + _PAIR)
 
 
-#: Rows of a part of a series, and parts that are stacked at a time.
-PART, STACK = 8192, 512
+#: Parts that are stacked at a time.
+STACK = 512
 _GRANGER = "granger_f_ab double, granger_p_ab double, granger_f_ba double, granger_p_ba double"
 _TRIANGLE = "n long, mean_a double, m2_a double, mean_b double, m2_b double, ab array<double>, ba array<double>"
 

@@ -93,6 +93,27 @@ def test_homology_walks_all_windows(spark):
     assert got == [float(e) for e in range(59, 1000, 30)]
 
 
+def test_homology_by_parts(spark, monkeypatch):
+    import numpy as np
+    from tessella.functions import series
+    from tessella.operators import grouped
+
+    monkeypatch.setattr(grouped, "PART", 100)
+    monkeypatch.setattr(grouped, "WINDOWS", 3)
+    monkeypatch.setattr(grouped, "_cohorts", lambda *a: pytest.fail("a cohort in one task"))
+    r = np.random.default_rng(8)
+    x, y, z = r.normal(5, 2, 400), r.normal(size=400).cumsum(), np.full(400, np.nan)
+    x[90:310], x[0], y[-3:], z[7] = np.nan, np.inf, np.nan, 1.0  # a gap over ranges, gaps at both ends, a single number
+    rows = [("c", n, 1.0 * i, float(v)) for n, v in (("x", x), ("y", y), ("z", z)) for i, v in enumerate(v) if v == v]
+    got = {g.signal_0_end: g for g in grouped.homology(spark.createDataFrame(rows, "cohort string, signal_id string, signal_0 double, value double")).collect()}
+    m = np.column_stack([series.interpolate(v) for v in (x, y, z)])
+    m = (m - m.mean(0)) / np.maximum(m.std(0), 1e-12)
+    assert sorted(got) == [float(e) for e in range(59, 400, 30)]
+    for e, g in got.items():
+        want = series.homology(m[int(e) - 59 : int(e) + 1])
+        assert (g.n_loops, g.max_persistence_h0, g.max_persistence_h1, g.persistence_entropy) == pytest.approx(tuple(want[c] for c in ("n_loops", "max_persistence_h0", "max_persistence_h1", "persistence_entropy")))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(ORACLE) <= set(__spark_entry__.queries())
