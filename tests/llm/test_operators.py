@@ -3,9 +3,11 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import common, decontam, pii, quality, sharding, sp_codec, substring_dedup, token_output, toxicity, url_filter
@@ -166,6 +168,31 @@ def test_near_substring_between_partial_quotes(spark):
     assert got == {(11, 5)}
 
 
+def test_a_text_meets_a_tile_at_once():
+    r = np.random.default_rng(8)
+    new = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    p = new(60)
+    q = p[:20] + ["other"] + p[21:]
+    short = [" ".join(new(40) + p[:30] + new(60)) for _ in range(199)]  # share too little for a passage
+    texts = [*short, " ".join(new(40) + p + new(40)), " ".join(new(50) + q + new(30))]
+    n = len(texts) - 1
+    ps = [[]] * n + [list(range(n))]
+    tile = pa.RecordBatch.from_pydict({"s": [0] * (n + 1), "i": [0] * (n + 1), "j": [0] * (n + 1), "node": list(range(n + 1)), "t": [0] * (n + 1), "role": [0] * n + [1], "ps": ps, "text": texts})
+    calls = []
+
+    def count(frame, event, what):
+        if event == "c_call" and getattr(what, "__name__", "") == "searchsorted":
+            calls.append(event)
+
+    sys.setprofile(count)
+    try:
+        got = [(x["p"], x["node"], x["a"], x["b"]) for b in substring_dedup._compare_tiles(iter([tile])) for x in b.to_pylist()]
+    finally:
+        sys.setprofile(None)
+    assert got == [(199, 200, 50, 110)]
+    assert len(calls) < 50  # one for each pair before
+
+
 def test_passage_with_a_run_that_the_first_text_repeats():
     r = np.random.default_rng(7)
     one, two = r.integers(1, 2**60, 200).astype(np.uint64), r.integers(1, 2**60, 140).astype(np.uint64)
