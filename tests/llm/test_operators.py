@@ -193,6 +193,12 @@ def test_a_text_meets_a_tile_at_once():
     assert len(calls) < 50  # one for each pair before
 
 
+def test_few_texts_move_for_a_few_nodes(spark):
+    some = spark.range(0, 5000, 50).selectExpr("id node", "1 role")
+    got = {r.id for r in substring_dedup._among(spark.range(5000).selectExpr("if(id = 7, null, id) id", "'' text"), some).collect()}
+    assert set(range(0, 5000, 50)) <= got and len(got) < 400
+
+
 def test_passage_with_a_run_that_the_first_text_repeats():
     r = np.random.default_rng(7)
     one, two = r.integers(1, 2**60, 200).astype(np.uint64), r.integers(1, 2**60, 140).astype(np.uint64)
