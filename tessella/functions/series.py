@@ -173,6 +173,129 @@ def window_metrics(m: np.ndarray) -> dict:
     return out | {"centroid_kurtosis": kind["kurtosis"], "centroid_perm_entropy": kind["perm_entropy"], "centroid_spectral_flatness": kind["spectral_flatness"]}
 
 
+#: Points whose neighbours fit one word; windows whose tables fit a cache.
+FEW, AT_ONCE = 64, 128
+
+
+def _near(rank: np.ndarray, w: np.ndarray, x: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A bit for each point that an edge before e joins with x, in window w."""
+    return np.packbits((rank.reshape(-1, FEW).take(w * rank.shape[1] + x, axis=0) < e.astype(rank.dtype)[:, None]).ravel(), bitorder="little").view(np.uint64)
+
+
+def _lowest(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest bit of each word, and its number."""
+    bit = bits & (~bits + np.uint64(1))
+    return bit, np.bitwise_count(bit - np.uint64(1)).astype(np.int64)
+
+
+def _pieces(rank: np.ndarray, w: np.ndarray, e: np.ndarray, lune: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(window, edge, corner): a corner in each component of an edge's lune but the first."""
+    found, rest, met = [], lune, np.zeros_like(lune)
+    open_, _ = _lowest(rest)
+    while len(w):
+        bit, x = _lowest(open_)
+        met = met | bit
+        open_ = (open_ | _near(rank, w, x, e) & rest) & ~met
+        left = (met | open_) != rest
+        w, e, rest, met, open_ = (v[left] for v in (w, e, rest, met, open_))
+        shut = open_ == 0
+        rest[shut] &= ~met[shut]
+        met[shut] = 0
+        open_[shut], x = _lowest(rest[shut])
+        found.append((w[shut], e[shut], x))
+    return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, int)]) for i in range(3))
+
+
+def _lifetimes(points: np.ndarray) -> tuple[np.ndarray, list[list[float]]]:
+    """Rips lifetimes of each window (windows, at most FEW points, dimensions): of components by length, of loops by death.
+
+    Exact: an edge with a third corner joined by shorter edges is, up to earlier triangles, the sum of the two other sides, so a loop
+    is told by the edges without one (beyond a spanning tree these are the births), and only an edge whose corners fall into several
+    components fills a loop. Once one point is joined with all others no loop is left."""
+    b, n, _ = points.shape
+    # the most central point is the lowest bit: it is mostly joined with all of a lune, which ends the search for its components
+    central = np.argsort(((points - points.mean(1, keepdims=True)) ** 2).sum(2), 1)
+    points = np.take_along_axis(points, central[:, :, None], 1)
+    i, j = np.triu_indices(n, 1)
+    d = np.sqrt(sum((x[:, i] - x[:, j]) ** 2 for x in np.moveaxis(points, 2, 0)))
+    order, m, row = np.argsort(d, 1, kind="stable"), len(i), np.arange(b)[:, None]
+    d = np.take_along_axis(d, order, 1)
+    rank = np.full((b, n, FEW), m, np.int16)  # a point and itself, and what is no point: never joined
+    rank[row, i[order], j[order]] = rank[row, j[order], i[order]] = np.arange(m)
+    joined = np.where(np.eye(n, FEW, dtype=bool) | (np.arange(FEW) >= n), -1, rank).max(2).min(1)
+    last = int(joined.max()) + 1
+    p, q = i[order[:, :last]], j[order[:, :last]]
+
+    tree, inside, reach = np.empty((b, n - 1), np.int64), np.zeros((b, FEW), bool), rank[:, 0].copy()
+    inside[:, 0] = True
+    for k_ in range(n - 1):
+        x = np.where(inside, m, reach).argmin(1)
+        tree[:, k_] = reach[row[:, 0], x]
+        inside[row[:, 0], x] = True
+        reach = np.minimum(reach, rank[row[:, 0], x])
+    tree.sort(1)
+
+    turn = np.argsort(rank[:, :, :n], 2, kind="stable")  # of each point the others, by length
+    bits = np.uint64(1) << turn.astype(np.uint64)
+    before = np.empty_like(bits)  # of two points: those nearer the first than the second is
+    np.put_along_axis(before, turn, bits.cumsum(2, dtype=np.uint64) - bits, 2)
+    lune, base = before.ravel(), row * n * n
+    lune = lune.take(base + p * n + q) & lune.take(base + q * n + p)
+    some = lune != 0
+    births = ~some
+    births[row, tree] = False
+    some &= np.arange(last) <= joined[:, None]
+    (w, e), lune = some.nonzero(), lune[some]
+    _, x = _lowest(lune)
+    sides = np.zeros((2, last, b), np.int64)
+    for side, corner in zip(sides, (p, q)):
+        side[e, w] = rank[w, corner[w, e], x]
+    number = births.cumsum(1) - 1
+    most = int(number.max()) + 1
+    told = np.array([1 << k_ for k_ in range(most + 1)], np.uint64 if most < FEW else object)
+    sums = np.where(births, told[number], told[0] ^ told[0]).T.copy()
+    for e_ in range(last):  # of no sides: the first edge twice, which is nothing
+        sums[e_] ^= sums[sides[0, e_], row[:, 0]] ^ sums[sides[1, e_], row[:, 0]]
+
+    w, e, x = _pieces(rank, w, e, lune)
+    loop = sums[e, w] ^ sums[rank[w, p[w, e], x], w] ^ sums[rank[w, q[w, e], x], w]
+    turn = np.lexsort((e, w))
+    turn = turn[loop[turn] != 0]
+    born, lows, h1 = [d[k_, :last][births[k_]].tolist() for k_ in range(b)], [{} for _ in range(b)], [[] for _ in range(b)]
+    for w_, death, v in zip(w[turn].tolist(), d[w[turn], e[turn]].tolist(), loop[turn].tolist()):
+        low = lows[w_]
+        while v and v.bit_length() in low:
+            v ^= low[v.bit_length()]
+        if v:
+            low[v.bit_length()] = v
+            birth = born[w_][v.bit_length() - 1]
+            if death > birth:
+                h1[w_].append(death - birth)
+    return np.take_along_axis(d, tree, 1), h1
+
+
+def _summaries(h0: np.ndarray, h1: list[list[float]]) -> dict[str, np.ndarray]:
+    """Of each window's lifetimes: how many exceed their median, the longest, and the entropy of their shares."""
+    loops = np.full((len(h1), max(map(len, h1), default=0)), math.nan)
+    for row, x in zip(loops, h1):
+        row[: len(x)] = x
+    life = np.sort(np.hstack([h0, loops]), 1)
+    n = np.isfinite(life).sum(1)[:, None]
+    noise = (np.take_along_axis(life, (n - 1) // 2, 1) + np.take_along_axis(life, n // 2, 1)) / 2
+    total = np.nansum(life, 1, keepdims=True)
+    p = np.divide(life, total, out=np.zeros_like(life), where=(life > 0) & (total > 0))
+    return {"n_components": (h0 > noise).sum(1), "n_loops": (loops > noise).sum(1), "max_persistence_h0": h0.max(1), "max_persistence_h1": np.nan_to_num(loops).max(1, initial=0.0), "persistence_entropy": -(p * np.log(np.where(p > 0, p, 1.0))).sum(1)}
+
+
+def homologies(windows: np.ndarray, least: int = 10) -> dict[str, np.ndarray]:
+    """homology() of each window (windows, points, dimensions), all at once where their points are few and finite."""
+    if len(windows) and least <= windows.shape[1] <= FEW and np.isfinite(windows).all():
+        parts = [_summaries(*_lifetimes(windows[a : a + AT_ONCE])) for a in range(0, len(windows), AT_ONCE)]
+        return {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+    rows = [homology(w, least) for w in windows]
+    return {c: np.array([r[c] for r in rows]) for c in ("n_components", "n_loops", "max_persistence_h0", "max_persistence_h1", "persistence_entropy")}
+
+
 def homology(points: np.ndarray, least: int = 10, cap: int = 120, seed: int = 42) -> dict:
     """Vietoris-Rips lifetimes: components by a spanning tree, loops by reduction of the triangle boundaries."""
     points = points[np.isfinite(points).all(1)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,92 +200,149 @@ def sensitivities(obs: DataFrame, cap: int = 400) -> DataFrame:
     return _cohorts(tail(obs, cap), of, "signal_id string, sensitivity double, rank int")
 
 
-#: Windows of a part of a cohort.
-WINDOWS = 64
+#: Windows of a range of a cohort (so many times the stride coordinates), and ranges whose last windows meet.
+WINDOWS, MEET = 128, 16
 _HOMOLOGY = "signal_0_end double, n_components int, n_loops int, max_persistence_h0 double, max_persistence_h1 double, persistence_entropy double"
 
 
-def _ranges(obs: DataFrame) -> DataFrame:
-    """cohort, range, t, names, v (the columns of _matrix in turn, gaps as they are), ends (first and last number of each, with their places), by ranges of the coordinate."""
+def _blocks(obs: DataFrame, size: int) -> DataFrame:
+    """cohort, range (of so many coordinates), signal_id, t, v: numbers in blocks, packed before they move. Nulls are dropped."""
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="signal_0", columns="signal_id", values="value", aggfunc="first").sort_index()
-        cols, ends = [wide[c].to_numpy(float) for c in wide], []
-        for v in cols:
-            at = np.flatnonzero(np.isfinite(v))
-            ends.append([float(at[0]), v[at[0]], float(at[-1]), v[at[-1]]] if len(at) else None)
-        row = (*key, wide.index.to_numpy(float), list(wide), np.concatenate([*cols, np.zeros(0)]), ends)
-        return pd.DataFrame([row] if len(wide) else [], columns=["cohort", "range", "t", "names", "v", "ends"])
+    def pack(batches):
+        for batch in batches:
+            cohort, signal = (batch.column(c).dictionary_encode() for c in ("cohort", "signal_id"))
+            c, g = (np.asarray(x.indices.fill_null(-1)) for x in (cohort, signal))
+            t, v = np.asarray(batch.column("signal_0"), float), np.asarray(batch.column("value"), float)
+            held = np.flatnonzero((v == v) & (t == t) & (g >= 0))
+            r = np.floor(t[held] / size).astype(np.int64)
+            turn = np.lexsort((r, g[held], c[held]))
+            held, r = held[turn], r[turn]
+            first = np.flatnonzero(np.r_[True, (np.diff(r) != 0) | (np.diff(g[held]) != 0) | (np.diff(c[held]) != 0)][: len(held)])
+            ends = pa.array(np.r_[first, len(held)], pa.int32())
+            row = pa.array(held[first])
+            columns = [batch.column("cohort").take(row), pa.array(r[first]), batch.column("signal_id").take(row), *[pa.ListArray.from_arrays(ends, pa.array(x[held])) for x in (t, v)]]
+            yield pa.RecordBatch.from_arrays(columns, ["cohort", "range", "signal_id", "t", "v"])
 
-    dealt = obs.select("cohort", "signal_id", "signal_0", "value", F.floor(F.col("signal_0") / PART).alias("range"))
-    return dealt.groupBy("cohort", "range").applyInPandas(pack, "cohort string, range long, t array<double>, names array<string>, v array<double>, ends array<array<double>>")
+    return obs.select("cohort", "signal_id", F.col("signal_0").cast("double"), F.col("value").cast("double")).mapInArrow(pack, "cohort string, range long, signal_id string, t array<double>, v array<double>")
 
 
-def _around(ranges: DataFrame) -> DataFrame:
-    """cohort, range, at (the place of the range's first row) and near: for each signal of the cohort the nearest number before and after the range, with its place."""
-    own = Window.partitionBy("cohort").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    at = ranges.select("cohort", "range", F.size("t").cast("long").alias("m")).withColumn("at", F.coalesce(F.sum("m").over(own), F.lit(0).cast("long"))).drop("m")
-    ends = ranges.select("cohort", "range", F.explode(F.arrays_zip("names", "ends")).alias("x")).select("cohort", "range", F.col("x.names").alias("signal_id"), F.col("x.ends").alias("e"))
-    grid = at.join(ends.select("cohort", "signal_id").distinct(), "cohort").join(ends, ["cohort", "range", "signal_id"], "left")
-    w = Window.partitionBy("cohort", "signal_id")
-    side = lambda i, order, to: F.last(F.when(F.col("e").isNotNull(), F.array(F.col("at") + F.get("e", F.lit(i)), F.get("e", F.lit(i + 1)))), ignorenulls=True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)).alias(to)
-    near = grid.select("cohort", "range", "at", "signal_id", side(2, F.col("range"), "before"), side(0, F.desc("range"), "after"))
-    return near.groupBy("cohort", "range", "at").agg(F.array_sort(F.collect_list(F.struct("signal_id", "before", "after"))).alias("near"))
+def _side_by_side(pdf: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Coordinates of a range, and each signal's numbers there; of rows that share a coordinate the first one."""
+    t, cols = np.unique(np.concatenate(list(pdf["t"]))), {}
+    for name, own in pdf.groupby("signal_id"):
+        v, at = np.full(len(t), np.nan), np.searchsorted(t, np.concatenate(list(own["t"])))
+        v[at[::-1]] = np.concatenate(list(own["v"]))[::-1]
+        cols[name] = v
+    return t, cols
 
 
-def _filled(r) -> np.ndarray:
-    """The range's rows, a column for each signal of the cohort, gaps filled as s.interpolate() does on the whole series."""
-    m, out = len(r.t), []
-    own = dict(zip(r.names, np.asarray(r.v, float).reshape(-1, m)))
-    for x in r.near:
-        v = own.get(x["signal_id"], np.full(m, np.nan))
-        at = np.flatnonzero(np.isfinite(v))
-        sides = [([], []) if e is None else ([e[0] - r.at], [e[1]]) for e in (x["before"], x["after"])]
-        places, numbers = np.concatenate([sides[0][0], at, sides[1][0]]), np.concatenate([sides[0][1], v[at], sides[1][1]])
-        out.append(np.interp(np.arange(m), places, numbers) if len(places) else np.zeros(m))
-    return np.column_stack(out)
+_NEAR = "cohort string, range long, at long, names array<string>, mean array<double>, sd array<double>, near array<array<double>>"
 
 
-def homology(obs: DataFrame, window: int = 60, stride: int = 30) -> DataFrame:
-    """Rips lifetimes of each window of a cohort's standardised signals. Parts of WINDOWS windows, not whole cohorts, are in a task."""
-    ranges, step = _ranges(obs), WINDOWS * stride
-    placed = ranges.join(_around(ranges), ["cohort", "range"]).select("cohort", "at", "t", "names", "v", "near")
+def _told(dealt: DataFrame) -> DataFrame:
+    """By range: at (the place of its first row), the cohort's signals with mean and spread of the filled series, and near: for each
+    signal place and number of the nearest value before the range and after it.
 
-    def moments(batches):
-        for pdf in batches:
-            rows = [(r.cohort, len(x), x.mean(0), ((x - x.mean(0)) ** 2).sum(0)) for r in pdf.itertuples() for x in (_filled(r),)]
-            yield pd.DataFrame(rows, columns=["cohort", "m", "mean", "m2"])
+    Ranges tell size, ends and moments only; what lies between two ranges' numbers is on a line, whose moments follow from its ends."""
 
-    def scale(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        m, mean = pdf["m"].to_numpy(float)[:, None], np.stack(list(pdf["mean"]))
-        middle = (m * mean).sum(0) / m.sum()
-        sd = np.sqrt((np.stack(list(pdf["m2"])) + m * (mean - middle) ** 2).sum(0) / m.sum())
-        return pd.DataFrame([(key[0], middle, np.maximum(sd, 1e-12))], columns=["cohort", "mean", "sd"])
+    def tell(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        t, cols = _side_by_side(pdf)
+        out = []
+        for name, v in cols.items():
+            at, row = np.flatnonzero(np.isfinite(v)), [0.0] * 7
+            if len(at):
+                x = np.interp(np.arange(at[0], at[-1] + 1), at, v[at])
+                row = [at[0], v[at[0]], at[-1], v[at[-1]], len(x), x.mean(), ((x - x.mean()) ** 2).sum()]
+            out.append((*key, len(t), name, [float(e) for e in row]))
+        return pd.DataFrame(out, columns=["cohort", "range", "m", "signal_id", "of"])
+
+    def place(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        size = pdf.groupby("range")["m"].first().sort_index()
+        ranges, after = size.index.to_numpy(), size.to_numpy().cumsum()
+        before, total, names = after - size.to_numpy(), int(after[-1]), sorted(set(pdf["signal_id"]))
+        near, scale = [], []
+        for _, own in pdf[["signal_id", "range", "of"]].groupby("signal_id"):
+            of, i = np.array(own["of"].tolist(), float), np.searchsorted(ranges, own["range"])
+            some = of[:, 4] > 0
+            if not some.any():
+                near.append(np.full((len(ranges), 4), np.nan))
+                scale.append((0.0, 1e-12))
+                continue
+            turn = np.argsort(i[some])
+            of, i = of[some][turn], i[some][turn]
+            p0, v0, p1, v1 = of[:, 0] + before[i], of[:, 1], of[:, 2] + before[i], of[:, 3]
+            gap, step = p0[1:] - p1[:-1] - 1, v0[1:] - v1[:-1]
+            n = np.r_[of[:, 4], gap, p0[0], total - 1 - p1[-1]]
+            mean = np.r_[of[:, 5], (v1[:-1] + v0[1:]) / 2, v0[0], v1[-1]]
+            m2 = np.r_[of[:, 6], (step / (gap + 1)) ** 2 * gap * (gap**2 - 1) / 12, 0, 0]
+            middle = (n * mean).sum() / total
+            scale.append((middle, max(np.sqrt((m2 + n * (mean - middle) ** 2).sum() / total), 1e-12)))
+            old, new = np.searchsorted(i, np.arange(len(ranges))) - 1, np.searchsorted(i, np.arange(len(ranges)), "right")
+            pick = lambda x, k: np.where((k >= 0) & (k < len(x)), x[np.clip(k, 0, len(x) - 1)], np.nan)
+            near.append(np.column_stack([pick(p1, old), pick(v1, old), pick(p0, new), pick(v0, new)]))
+        mean, sd = ([float(x) for x in xs] for xs in zip(*scale))
+        return pd.DataFrame([(key[0], int(r), int(a), names, mean, sd, [n[k].tolist() for n in near]) for k, (r, a) in enumerate(zip(ranges, before))], columns=[c.split()[0] for c in _NEAR.split(", ")])
+
+    told = dealt.groupBy("cohort", "range").applyInPandas(tell, "cohort string, range long, m long, signal_id string, of array<double>")
+    return told.groupBy("cohort").applyInPandas(place, _NEAR)
 
-    def cut(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                x, t, at = _filled(r), np.asarray(r.t, float), int(r.at)
-                for part in range(max(0, (at - window) // step), (at + len(t) - 1) // step + 1):
-                    a, b = max(part * step - at, 0), min(part * step + step - stride + window - at, len(t))
-                    if a < b:
-                        out.append((r.cohort, part, at + a, t[a:b], x[a:b].ravel()))
-            yield pd.DataFrame(out, columns=["cohort", "part", "start", "t", "x"])
-
-    def of(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start")
-        mean, sd = (np.asarray(pdf[c].iloc[0], float) for c in ("mean", "sd"))
-        z, t = (np.concatenate(list(pdf["x"])).reshape(-1, len(mean)) - mean) / sd, np.concatenate(list(pdf["t"]))
-        with np.errstate(all="ignore"):
-            rows = [{"cohort": key[0], "signal_0_end": t[a + window - 1], **s.homology(z[a : a + window])} for a in range(0, len(z) - window + 1, stride)]
-        return pd.DataFrame(rows, columns=["cohort", *[c.split()[0] for c in _HOMOLOGY.split(", ")]])
 
-    scales = placed.mapInPandas(moments, "cohort string, m long, mean array<double>, m2 array<double>").groupBy("cohort").applyInPandas(scale, "cohort string, mean array<double>, sd array<double>")
-    parts = placed.mapInPandas(cut, "cohort string, part long, start long, t array<double>, x array<double>").join(F.broadcast(scales), "cohort")
+def homology(obs: DataFrame, window: int = 60, stride: int = 30) -> DataFrame:
+    """Rips lifetimes of each window of a cohort's standardised signals.
+
+    Ranges of WINDOWS * stride coordinates, not whole cohorts, are in a task; windows that lie in one range are computed there, and only
+    the rows of the others move once more. The numbers move once, in blocks, and are read twice: for what ranges tell, and for windows."""
+    names = [c.split()[0] for c in _HOMOLOGY.split(", ")]
+    n, schema = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), f"cohort string, part long, start long, at long, t array<double>, x array<double>, {_HOMOLOGY}"
     # few bytes and much work: by number, so that small parts are not put together in few tasks
-    spread = parts.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cohort", "part")
-    return spread.groupBy("cohort", "part").applyInPandas(of, "cohort string, " + _HOMOLOGY)
+    dealt = _blocks(obs, WINDOWS * stride).repartition(n, "cohort", "range")
+
+    def walk(cohort, z, t) -> pd.DataFrame:
+        with np.errstate(all="ignore"):
+            return pd.DataFrame({"cohort": cohort, "signal_0_end": t, **s.homologies(z)})
+
+    def of(key, pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        (t, cols), r = _side_by_side(pdf), told.iloc[0]
+        m, at, filled = len(t), int(r["at"]), []
+        for name, near in zip(r["names"], (np.array(x, float) for x in r["near"])):
+            v = cols.get(name, np.full(m, np.nan))
+            own = np.flatnonzero(np.isfinite(v))
+            places, numbers = np.r_[near[0] - at, own, near[2] - at], np.r_[near[1], v[own], near[3]]
+            known = np.isfinite(places)
+            filled.append(np.interp(np.arange(m), places[known], numbers[known]) if known.any() else np.zeros(m))
+        z = (np.column_stack(filled) - np.asarray(r["mean"], float)) / np.asarray(r["sd"], float)
+        low, high = -(-at // stride), (at + m - window) // stride  # of whole windows, by number
+        out = []
+        if low <= high:
+            inside = np.lib.stride_tricks.sliding_window_view(z, window, 0)[low * stride - at :: stride][: high - low + 1].swapaxes(1, 2)
+            out.append(walk(key[0], inside, t[low * stride - at + window - 1 :: stride][: high - low + 1]).assign(part=np.arange(low, high + 1) // (WINDOWS * MEET)))
+        cut = []
+        for k in range(max(0, (at - window) // stride + 1), (at + m - 1) // stride + 1):
+            if not low <= k <= high:
+                a, b = max(k * stride - at, 0), min(k * stride + window - at, m)
+                cut.append((key[0], k // (WINDOWS * MEET), k * stride, at + a, t[a:b], z[a:b].ravel()))
+        out.append(pd.DataFrame(cut, columns=["cohort", "part", "start", "at", "t", "x"]))
+        out = pd.concat(out).reindex(columns=[c.split()[0] for c in schema.split(", ")])
+        return out.assign(**{c: out[c].astype(object).where(out[c].notna(), None) for c in ("t", "x")})
+
+    def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, cut = [pdf.loc[pdf["start"].isna(), ["cohort", *names]]], pdf[pdf["start"].notna()]
+        ends, whole = [], []
+        for _, one in cut.groupby("start"):
+            one = one.sort_values("at")
+            t = np.concatenate(list(one["t"]))
+            if len(t) == window:  # else the cohort ends before
+                ends.append(t[-1])
+                whole.append(np.concatenate(list(one["x"])).reshape(window, -1))
+        if whole:
+            out.append(walk(key[0], np.stack(whole), np.array(ends)))
+        return pd.concat(out)
+
+    told = _told(dealt).repartition(n, "cohort", "range")
+    parts = dealt.groupBy("cohort", "range").cogroup(told.groupBy("cohort", "range")).applyInPandas(of, schema)
+    return parts.groupBy("cohort", "part").applyInPandas(join, "cohort string, " + _HOMOLOGY)
 
 
 _PAIR = "n int, correlation double, max_xcorr double, lag_at_max int, xcorr_symmetry double, mutual_info double, normalized_mi double, transfer_entropy_ab double, transfer_entropy_ba double, granger_f_ab double, granger_p_ab double, granger_f_ba double, granger_p_ba double, coint_stat double, cointegrated boolean, half_life double, spread_z double, hedge_ratio double, copula string, copula_param double, copula_aic double, kendall_tau double, spearman_rho double, tail_lower double, tail_upper double, empirical_tail_lower double, empirical_tail_upper double, dtw double, kl_divergence double, js_divergence double"

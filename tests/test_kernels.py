@@ -115,3 +115,18 @@ def test_loops_of_a_circle_and_of_all_triangles():
                 low[max(col)] = col
                 best = max(best, d[edges[t[2]]] - d[edges[max(col)]])
         assert abs(series.homology(x)["max_persistence_h1"] - best) < 1e-6
+
+
+def test_homologies_of_many_windows_at_once(monkeypatch):
+    from tessella.functions import series
+
+    r = np.random.default_rng(5)
+    many = [r.normal(size=(9, 60, 4)), r.normal(size=(5, 64, 20)), np.round(r.normal(size=(9, 40, 2)) * 2) / 2, np.zeros((2, 12, 3)), r.normal(size=(3, 70, 2))]
+    want = [[series.homology(w) for w in windows] for windows in many]
+    monkeypatch.setattr(series, "AT_ONCE", 4)
+    assert len(series.homologies(many[4])["n_loops"]) == 3  # too many points for a word: one by one
+    monkeypatch.setattr(series, "homology", lambda *a: pytest.fail("a window by itself"))
+    for windows, each in zip(many[:4], want):
+        got = series.homologies(windows)
+        for c, x in got.items():
+            assert list(x) == pytest.approx([w[c] for w in each], abs=1e-6)
