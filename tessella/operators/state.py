@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -288,67 +289,95 @@ _VIEWS = ["fourier_{}_dominant_freq", "fourier_{}_spectral_flatness", "envelope_
 _LINKS = ["laplacian_algebraic_connectivity", "laplacian_spectral_gap", "laplacian_n_components", "laplacian_max_eigenvalue"]
 
 
-def _middle(x: list[float]) -> float:
-    x = [v for v in x if v == v]
-    return float(np.median(x)) if x else _NAN
+#: Rows whose paths are held as matrices at once.
+ROWS = 2048
 
 
-def _feature_views(f: str, paths: list[np.ndarray]) -> dict:
-    """Medians over signals: spectrum (from eight points on), envelope (four), shares of spectral energy (ten; flat paths from eight)."""
-    spectra = [(k.spectral(x[None])["dominant_freq"][0], k.spectral_flatness(x[None])[0]) for x in paths if len(x) >= 8]
-    hulls = [np.abs(k.analytic(x[None])) for x in paths if len(x) >= 4]
-    shares = []
-    for x in (x for x in paths if len(x) >= 8):
-        w = {} if x.std() < 1e-10 or len(x) < 10 else k.wavelet_stability(x[None])
-        flat = 0.0 if x.std() < 1e-10 else _NAN
-        shares.append((w["wavelet_dominant_scale"][0], w["wavelet_entropy"][0], w["wavelet_energy_ratio"][0]) if w else (flat, flat, _NAN))
-    cv = [float(e.std() / e.mean()) if e.mean() > 0 else _NAN for e in hulls]
-    columns = [[a for a, _ in spectra], [b for _, b in spectra], [float(e.mean()) for e in hulls], [float(k.line(e)[0][0]) for e in hulls], cv, *[[t[i] for t in shares] for i in range(3)]]
-    return {name.format(f): _middle(c) for name, c in zip(_VIEWS, columns)}
+def _middle(x: np.ndarray) -> np.ndarray:
+    """Median of each row's numbers."""
+    x, n = np.sort(x, 1), (~np.isnan(x)).sum(1)[:, None]
+    return ((np.take_along_axis(x, np.maximum(n - 1, 0) // 2, 1) + np.take_along_axis(x, n // 2, 1)) / 2)[:, 0]
 
 
-def _link_views(paths: list[np.ndarray]) -> dict:
-    """Spectrum of the normalised Laplacian of the signals' absolute correlations, shorter paths ending in zeros."""
-    if len(paths) < 2:
-        return {}
-    m = np.zeros((len(paths), max(map(len, paths))))
-    for row, x in zip(m, paths):
-        row[: len(x)] = x
-    c = np.abs(np.nan_to_num(np.corrcoef(m)))
-    np.fill_diagonal(c, 0)
-    e = np.sort(np.linalg.eigvalsh(s.laplacian(c)))
-    return {"laplacian_algebraic_connectivity": e[1], "laplacian_spectral_gap": e[1] / e[-1] if e[-1] > 0 else _NAN, "laplacian_n_components": float((e < 1e-10).sum()), "laplacian_max_eigenvalue": e[-1]}
+def _path_views(x: np.ndarray) -> np.ndarray:
+    """Of paths of one length: spectrum (from eight points on), envelope (four), shares of spectral energy (ten; flat paths from eight)."""
+    out, n = np.full((len(_VIEWS), len(x)), _NAN), x.shape[1]
+    if n >= 4:
+        hull = np.abs(k.analytic(x))
+        mean = hull.mean(1)
+        out[2:5] = mean, k.line(hull)[0], np.divide(hull.std(1), mean, out=np.full(len(x), _NAN), where=mean > 0)
+    if n >= 8:
+        flat = x.std(1) < 1e-10
+        out[:2] = k.spectral(x)["dominant_freq"], k.spectral_flatness(x)
+        if n >= 10:
+            w = k.wavelet_stability(x)
+            out[5:] = w["wavelet_dominant_scale"], w["wavelet_entropy"], w["wavelet_energy_ratio"]
+        out[5:7, flat], out[7, flat] = 0.0, _NAN
+    return out
+
+
+def _link_views(m: np.ndarray) -> np.ndarray:
+    """Spectrum of the normalised Laplacian of the signals' absolute correlations, by row of m (rows, signals, points)."""
+    y = m - m.mean(2, keepdims=True)
+    c = y @ y.swapaxes(1, 2) / np.array(m.shape[2] - 1.0)
+    sd = np.sqrt(np.diagonal(c, axis1=1, axis2=2))
+    c = np.abs(np.nan_to_num(np.clip(c / sd[:, :, None] / sd[:, None], -1, 1)))
+    c[:, np.arange(m.shape[1]), np.arange(m.shape[1])] = 0
+    degree = c.sum(2)
+    root = np.where(degree > 0, 1 / np.sqrt(np.maximum(degree, 1e-300)), 0.0)
+    e = np.linalg.eigvalsh(np.eye(m.shape[1]) * (degree > 0)[:, :, None] - root[:, :, None] * c * root[:, None])
+    return np.stack([e[:, 1], np.divide(e[:, 1], e[:, -1], out=np.full(len(e), _NAN), where=e[:, -1] > 0), (e < 1e-10).sum(1), e[:, -1]])
+
+
+def _row_views(xs: pa.ListArray, features: list[str]) -> list[np.ndarray]:
+    """The columns of trajectory_views() of rows of histories(): paths of equal length are one matrix."""
+    held = np.diff(xs.offsets.to_numpy())
+    lists = xs.flatten().field("xs")
+    size, points = np.diff(lists.offsets.to_numpy()), lists.flatten()
+    row, of = np.repeat(np.arange(len(xs)), held), np.repeat(np.arange(len(size)), size)
+    at, most = np.arange(len(row)) - np.repeat(held.cumsum() - held, held), max(int(held.max(initial=0)), 1)
+    joined, end, out = np.zeros((len(size), len(features) * int(size.max(initial=0)))), np.zeros(len(size), np.int64), []
+    for f in features:
+        v = points.field(f).to_numpy(zero_copy_only=False)
+        ok = np.isfinite(v)
+        v, p = v[ok], of[ok]
+        n = np.bincount(p, minlength=len(size))
+        first = n.cumsum() - n
+        joined[p, end[p] + np.arange(len(v)) - first[p]] = v
+        end += n
+        views = np.full((len(_VIEWS), len(xs), most), _NAN)
+        for length in np.unique(n):
+            here = np.flatnonzero(n == length)
+            views[:, row[here], at[here]] = _path_views(v[first[here, None] + np.arange(length)]) if length else _NAN
+        out += [_middle(x) for x in views]
+    some = np.flatnonzero(end)
+    n = np.bincount(row[some], minlength=len(xs))
+    first, longest = n.cumsum() - n, np.zeros(len(xs), np.int64)
+    np.maximum.at(longest, row, end)
+    links = np.full((len(_LINKS), len(xs)), _NAN)
+    for signals, length in np.unique(np.column_stack([n, longest]), axis=0):
+        here = np.flatnonzero((n == signals) & (longest == length))
+        if signals >= 2:
+            links[:, here] = _link_views(joined[some[first[here, None] + np.arange(signals)], :length])
+    return [*out, *links]
 
 
 def trajectory_views(windows: DataFrame, features: list[str], last: int = 32) -> DataFrame:
     """How the features of a cohort's signals move, by window end: Fourier, envelope, energy and link views of their newest windows.
 
-    Values that are no numbers are left out of a path; views without a path long enough are null."""
-    names = ["cohort", "signal_0_end", *[v.format(f) for f in features for v in _VIEWS], *_LINKS]
-
-    def of(r) -> dict:
-        paths = {f: [] for f in features}
-        joined = []
-        for one in r.xs:
-            got = [np.array([_NAN if x[f] is None else x[f] for x in one["xs"]], float) for f in features]
-            got = [x[np.isfinite(x)] for x in got]
-            for f, x in zip(features, got):
-                if len(x):
-                    paths[f].append(x)
-            if any(map(len, got)):
-                joined.append(np.concatenate(got))
-        out = {"cohort": r.cohort, "signal_0_end": r.signal_0_end, **_link_views(joined)}
-        for f in features:
-            out |= _feature_views(f, paths[f])
-        return out
+    Values that are no numbers are left out of a path; views without a path long enough are null. Of several signals the median; for
+    links shorter paths end in zeros. Paths stay Arrow arrays: as objects a batch of them took hundreds of MB."""
+    names = [*[v.format(f) for f in features for v in _VIEWS], *_LINKS]
 
     def run(batches):
-        for pdf in batches:
-            with np.errstate(all="ignore"):
-                made = [of(r) for r in pdf.itertuples()]
-            yield pd.DataFrame(made, columns=names).astype({c: float for c in names[2:]})
+        for whole in batches:
+            for a in range(0, len(whole), ROWS):
+                batch = whole.slice(a, ROWS)
+                with np.errstate(all="ignore"):
+                    made = _row_views(batch.column("xs"), features)
+                yield pa.RecordBatch.from_arrays([batch.column("cohort"), batch.column("signal_0_end"), *[pa.array(np.asarray(x, float), from_pandas=True) for x in made]], ["cohort", "signal_0_end", *names])
 
-    return histories(windows, features, last).mapInPandas(run, "cohort string, signal_0_end double, " + ", ".join(f"`{c}` double" for c in names[2:]))
+    return histories(windows, features, last).mapInArrow(run, "cohort string, signal_0_end double, " + ", ".join(f"`{c}` double" for c in names))
 
 
 def state_vector(windows: DataFrame, groups: dict[str, list[str]], last: int = 32) -> DataFrame:

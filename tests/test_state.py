@@ -148,6 +148,44 @@ def test_views_and_weights(spark):
     assert len(both) == 1 and both[0].state_g_y == pytest.approx(39) and both[0].n_signals == 3
 
 
+def test_views_of_many_rows_stay_arrays():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    one = lambda n, gaps=0: [{"x": None if i < gaps else float(v), "y": float(v * v)} for i, v in enumerate(r.normal(size=n))]
+    lengths = [[32, 32, 32], [32, 9, 5], [3, 1], [12], [], [32, 32]]
+    rows = [[{"signal_id": f"s{i}", "xs": one(n, i)} for i, n in enumerate(ls)] for ls in lengths]
+    rows[-1][0]["xs"] = [{"x": 2.0, "y": NAN}] * 32
+    kind = pa.list_(pa.struct([("signal_id", pa.string()), ("xs", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))]))
+    got = np.column_stack(state._row_views(pa.array(rows, kind), ["x", "y"]))
+    middle = lambda v: np.median(v) if len(v) else NAN
+    for row, seen in zip(rows, got):
+        paths = {f: [np.array([p[f] for p in q["xs"] if p[f] is not None and p[f] == p[f]]) for q in row] for f in ("x", "y")}
+        for j, f in ((0, "x"), (8, "y")):
+            long, some = ([p for p in paths[f] if len(p) >= n] for n in (8, 4))
+            assert seen[j] == pytest.approx(middle([k.spectral(p[None])["dominant_freq"][0] for p in long]), nan_ok=True)
+            assert seen[j + 2] == pytest.approx(middle([np.abs(k.analytic(p[None])).mean() for p in some]), nan_ok=True)
+            scale = [0.0 if p.std() < 1e-10 else k.wavelet_stability(p[None])["wavelet_dominant_scale"][0] if len(p) >= 10 else NAN for p in long]
+            assert seen[j + 5] == pytest.approx(middle([v for v in scale if v == v]), nan_ok=True)
+        whole = [np.concatenate(p) for p in zip(paths["x"], paths["y"]) if len(np.concatenate(p))]
+        if len(whole) < 2:
+            assert np.isnan(seen[16:]).all()
+        else:
+            m = np.array([np.pad(p, (0, max(map(len, whole)) - len(p))) for p in whole])
+            c = np.abs(np.nan_to_num(np.corrcoef(m)))
+            np.fill_diagonal(c, 0)
+            e = np.sort(np.linalg.eigvalsh(s.laplacian(c)))
+            assert seen[16] == pytest.approx(e[1], abs=1e-9) and seen[19] == pytest.approx(e[-1], abs=1e-9)
+    many = pa.array([rows[0]] * 5000, kind)
+    tracemalloc.start()
+    for a in range(0, len(many), state.ROWS):
+        state._row_views(many.slice(a, state.ROWS), ["x", "y"])
+    assert tracemalloc.get_traced_memory()[1] < 100e6  # as objects, 960,000 numbers and their 480,000 names took more
+    tracemalloc.stop()
+
+
 def test_state_vector_builds_the_windows_once(spark):
     df = windows(spark, [("c", n, 10.0 * i + 10, 10.0 * i + 5, float(i), float(i * i)) for n in "pq" for i in range(9)])
     built = spark.sparkContext.accumulator(0)
