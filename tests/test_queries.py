@@ -93,6 +93,16 @@ def test_homology_walks_all_windows(spark):
     assert got == [float(e) for e in range(59, 1000, 30)]
 
 
+def test_homology_of_few_or_no_rows(spark):
+    from tessella.operators import grouped
+
+    kind = "cohort string, signal_id string, signal_0 double, value double"
+    assert grouped.homology(spark.createDataFrame([], kind)).count() == 0
+    few = [(c, "a", float(i), None if c == "n" else float(i % 7)) for c, m in (("n", 90), ("short", 59), ("one", 60)) for i in range(m)]
+    got = grouped.homology(spark.createDataFrame(few, kind)).collect()
+    assert [(r.cohort, r.signal_0_end, r.n_loops) for r in got] == [("one", 59.0, 0)]
+
+
 def test_homology_by_parts(spark, monkeypatch):
     import numpy as np
     from tessella.functions import series
